@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES = ()
+from lodewright.llm import q_neardup
+
+_MODULES = (q_neardup,)
 
 
 def queries() -> dict:
