@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodewright.llm import q_neardup
+from lodewright.llm import q_neardup, q_neighbours
 
-_MODULES = (q_neardup,)
+_MODULES = (q_neardup, q_neighbours)
 
 
 def queries() -> dict:
