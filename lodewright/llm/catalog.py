@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodewright.llm import q_neardup, q_neighbours
+from lodewright.llm import q_neardup, q_neighbours, q_split
 
-_MODULES = (q_neardup, q_neighbours)
+_MODULES = (q_neardup, q_split, q_neighbours)
 
 
 def queries() -> dict:
