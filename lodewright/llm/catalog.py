@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodewright.llm import q_handwritten, q_neardup, q_neighbours, q_source, q_split, q_tokens
+from lodewright.llm import q_handwritten, q_neardup, q_neighbours, q_source, q_split, q_subjects, q_tokens
 
-_MODULES = (q_neardup, q_split, q_neighbours, q_handwritten, q_source, q_tokens)
+_MODULES = (q_neardup, q_split, q_neighbours, q_handwritten, q_source, q_tokens, q_subjects)
 
 
 def queries() -> dict:
