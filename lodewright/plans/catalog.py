@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodewright.plans import problems
+from lodewright.plans import index, problems
 
 FLAGSHIP = "p4_found"
-_MODULES = (problems,)
+_MODULES = (problems, index)
 
 
 def queries() -> dict:

@@ -26,5 +26,31 @@ def counting_files(files: DataFrame, *cols: str) -> DataFrame:
     Null created_at or id sort lowest. Keeps snapshot_id, source_path and cols. One shuffle;
     the choice is made by a map-side combined max, so a hot snapshot is no hot task.
     """
-    best = F.max(F.struct("created_at", "id", *cols)).alias("_best")
-    return files.groupBy("snapshot_id", "source_path").agg(best).select("snapshot_id", "source_path", *[F.col(f"_best.{c}").alias(c) for c in cols])
+    best = F.max(F.struct("created_at", "id", F.struct(*cols).alias("row"))).alias("_best")
+    return files.groupBy("snapshot_id", "source_path").agg(best).select("snapshot_id", "source_path", *[F.col(f"_best.row.{c}").alias(c) for c in cols])
+
+
+FILE_COLUMNS = ["id", "collection", "repo", "repo_role", "branch", "repo_rel_path", "git_blob_sha", "file_sha256", "size_bytes", "language", "file_role", "content_class", "is_generated", "is_vendor", "is_test", "is_source", "is_build", "is_config", "is_doc", "is_untracked", "indexed_dirty", "skipped_reason"]
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return one_per_id(table(spark, d, "project_code_intel_snapshots"))
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """Counting rows, digests in lower case."""
+    out = counting_files(table(spark, d, "project_code_intel_files"), *FILE_COLUMNS)
+    return out.withColumns({c: F.lower(c) for c in ("file_sha256", "git_blob_sha")})
+
+
+def records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """One row per id, digests in lower case; only cols if given, so that no wide column is shuffled."""
+    t = table(spark, d, "project_code_intel_records")
+    out = one_per_id(t.select("id", *cols) if cols else t)
+    return out.withColumn("file_sha256", F.lower("file_sha256")) if "file_sha256" in out.columns else out
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """One row per id, empty keys as null."""
+    t = one_per_id(table(spark, d, "project_code_intel_edges"))
+    return t.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("source_record_id", "target_record_id", "source_symbol", "target_symbol", "target_path")})
