@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodewright.plans import index, problems
+from lodewright.plans import code, index, problems, search
 
-FLAGSHIP = "p4_found"
-_MODULES = (problems, index)
+FLAGSHIP = "text_any_terms"
+_MODULES = (problems, index, search, code)
 
 
 def queries() -> dict:
