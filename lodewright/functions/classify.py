@@ -42,7 +42,8 @@ def suffix(path) -> Column:
 def language(path) -> Column:
     """Language by special names and suffixes; text if nothing fits."""
     name, low, end = base_name(path), F.lower(base_name(path)), F.lower(suffix(path))
-    by_suffix = reduce(lambda rest, kv: F.when(end.isin(*kv[1].split()), kv[0]).otherwise(rest), SUFFIXES.items(), F.lit("text"))
+    known = F.create_map(*[F.lit(x) for lang, ends in SUFFIXES.items() for e in ends.split() for x in (e, lang)])
+    by_suffix = F.coalesce(F.try_element_at(known, end), F.lit("text"))
     docker = name.isin("Dockerfile", "Containerfile") | low.endswith(".dockerfile") | low.rlike(r"^(?:dockerfile|containerfile)[.-]")
     return (
         F.when(end.isin(*C_SUFFIXES), "c")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodewright.plans import code, index, problems, search
+from lodewright.plans import code, index, ops, parsing, problems, search, streams
 
 FLAGSHIP = "text_any_terms"
-_MODULES = (problems, index, search, code)
+_MODULES = (problems, index, search, code, ops, parsing, streams)
 
 
 def queries() -> dict:
