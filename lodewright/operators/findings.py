@@ -67,7 +67,7 @@ def sarif_findings(runs: DataFrame) -> DataFrame:
     place = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     base = F.when(place["artifactLocation"]["uriBaseId"].isNotNull(), F.try_element_at("bases", place["artifactLocation"]["uriBaseId"])["uri"])
     uri = place["artifactLocation"]["uri"]
-    where = F.when(base.isNotNull(), F.concat(F.regexp_replace(base, "/*$", "/"), uri)).otherwise(uri)
+    where = F.when(base.isNotNull(), F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), uri)).otherwise(uri)
     number = lambda c: F.try_to_number(place["region"][c], F.lit("999999999")).cast("int")
     prints = F.when(F.size("x.partialFingerprints") > 0, F.col("x.partialFingerprints")).when(F.size("x.fingerprints") > 0, F.col("x.fingerprints"))
     entries = F.array_sort(F.map_entries(prints))

@@ -93,7 +93,7 @@ def semantic_search(records: DataFrame, vector: list[float], query: str, filters
 def pairwise_by_group(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """(group, n_pairs, mean_cosine) of all pairs within groups, without a pair being made: the mean over pairs of
     unit vectors follows from the length of their sum, (|sum|^2 - n) / (n (n - 1))."""
-    unit = df.filter(norm(F.col(vector)) > 0).select(group, F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector))).alias("u"))
+    unit = df.filter(norm(F.col(vector)) > 0).select(group, F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm(F.col(vector)))).alias("u"))
     flat = unit.select(group, F.posexplode("u").alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     g = flat.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n")).filter("n > 1")
     return g.select(group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"), ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
