@@ -91,18 +91,18 @@ def _best(q: np.ndarray, e: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0.0, min_cosine: float | None = None, queries=None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0.0, min_cosine: float | None = None, queries: str | None = None) -> DataFrame:
     """(id, neighbour, cosine): the k best of the entries visited for each usable vector (id, embedding).
 
     At least visit entries and the given share of all are visited for each query. min_cosine leaves out lesser neighbours before any
-    shuffle, which gives the same as leaving them out at the end. queries, a condition on id, names the
+    shuffle, which gives the same as leaving them out at the end. queries, an SQL condition on id, names the
     vectors that get a list, against all. Ties go to the lesser id. Vectors that are null, of another length, with null,
     NaN or infinite elements, or all zero are neither query nor neighbour. Rows with an id seen before are one
     row. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     signed = cut(usable(vectors).mapInPandas(_units, "id long, h1 long, h2 long, vec binary").dropDuplicates(["id"]))
-    asks = F.expr("true") if queries is None else queries
+    asks = F.expr(queries or "true")
     reps = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec"), F.max(asks).alias("asks"))
     n = reps.count()
     if not n:

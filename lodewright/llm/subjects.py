@@ -5,6 +5,7 @@ the words of all its documents, by online variational Bayes on Spark. The top te
 a term's affinity to a subject is its share among the labelled documents with the term, a topic's profile the mean
 of its terms'. A term has the subject of its own affinity where enough labelled documents show one, else that of
 its topic. So a topic that holds two subjects is split by its terms, and a topic without a subject gives none.
+Terms are inspected twice: first by labels, then by the subjects which that gives to all documents.
 A document's topic proportions, summed by subject, weigh its ambiguous terms. A sentence is devoted to a subject if
 it names at least two of its terms (adjacent words are one term); a subject of three such sentences is the document's.
 
@@ -30,7 +31,7 @@ from lodewright.session import cut
 VOCABULARY, LABELLED, TOPICS, ROUNDS, BATCH, LANGUAGES = 4000, 20_000, 24, 30, 20_000, 8
 SENTENCES, TERMS = 3, 2
 _CODE = r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)"
-_NAMES = r"`[^`\n]*`|\S*[_/\\@#<>{}=\d]\S*"
+_NAMES = r"`[^`\n]*`|(?<!\S)[^\s`_/\\@#<>{}=\d]*+[_/\\@#<>{}=\d]\S*+"  # possessive: linear in long tokens
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?;:](?=\s|$)|\n+|\|")
 _JOIN = frozenset("of de du des del la le les der d l à".split())  # fixed value: words inside terms
@@ -86,9 +87,9 @@ def subjects_of(text: str, weight: dict[str, np.ndarray], n_subjects: int) -> li
 def _topics(docs: DataFrame, n: int, topics: int, rounds: int, seed: int):
     """(vocabulary, words x topics weights) of docs (doc_id, words); None if no word is frequent enough.
 
-    Words of fewer than 0.05 % or more than 12 % of the documents tell no subject.
+    Words of fewer than 0.05 % or more than 20 % of the documents tell no subject.
     """
-    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY, minDF=float(max(3, int(0.0005 * n))), maxDF=float(max(4, int(0.12 * n))))
+    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY, minDF=float(max(3, int(0.0005 * n))), maxDF=float(max(4, int(0.2 * n))))
     model = counter.fit(docs)
     if len(model.vocabulary) < topics:
         return None
@@ -127,9 +128,9 @@ def term_subjects(vocabulary: list[str], topics: np.ndarray, votes: dict[str, np
     out = {}
     for i, w in enumerate(vocabulary):
         own, by_topic = share[i], given[i] @ profile
-        trust = total[i] / (total[i] + 3.0)
+        trust = total[i] / (total[i] + 1.5)
         p = trust * own + (1 - trust) * by_topic
-        if p[:n].max() >= 0.5:
+        if p[:n].max() >= 0.45:
             keep = np.where(p[:n] >= 0.15, p[:n], 0.0)
             out[w] = keep / keep.sum()
         elif trust >= 0.7:  # a word of two subjects: its neighbours decide
@@ -140,27 +141,54 @@ def term_subjects(vocabulary: list[str], topics: np.ndarray, votes: dict[str, np
     return out
 
 
-def subject_terms(docs: DataFrame, areas: DataFrame, labels: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS, seed: int = 11) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Subjects in order, and the weights of the terms of all languages; docs is (doc_id, lang, words)."""
-    subjects = sorted(r["subject"] for r in areas.select("subject").distinct().collect() if r["subject"])
-    sizes = sorted(((r["count"], r["lang"]) for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()), reverse=True)
-    if not sizes or not subjects:
-        return subjects, {}
-    votes = _affinities(docs, labels, subjects)
+def fit_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS, seed: int = 11) -> list[tuple[list[str], np.ndarray]]:
+    """(vocabulary, words x topics weights) of each language of docs (doc_id, lang, words)."""
+    sizes = [(r["count"], r["lang"]) for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not sizes:
+        return []
     named = [k for n, k in sizes if k and n >= max(50, 0.01 * sizes[0][0])] or [sizes[0][1] or ""]
-    weight: dict[str, np.ndarray] = {}
-    strength: dict[str, float] = {}
+    out = []
     for i, lang in enumerate(named):
         own = docs.filter(F.col("lang") == lang) if i else docs.filter((F.col("lang") == lang) | ~F.coalesce(F.col("lang"), F.lit("")).isin(*named[1:], lang))
         own = own.select("doc_id", "words")
-        got = _topics(own, own.count(), topics, rounds, seed)
-        if got:
-            mass = got[1].sum(axis=1)
-            for w, p in term_subjects(*got, votes, len(subjects)).items():
-                m = mass[got[0].index(w)] if len(got[0]) < 50 else 1.0
-                if m > strength.get(w, 0.0):
-                    weight[w], strength[w] = p, m
-    return subjects, weight
+        if got := _topics(own, own.count(), topics, rounds, seed):
+            out.append(got)
+    return out
+
+
+def all_terms(models: list[tuple[list[str], np.ndarray]], votes: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """Weights of the terms of all languages; a word of several has those of the language where it is most frequent."""
+    weight: dict[str, np.ndarray] = {}
+    strength: dict[str, float] = {}
+    for vocabulary, topics in models:
+        mass = dict(zip(vocabulary, topics.sum(axis=1)))
+        for w, p in term_subjects(vocabulary, topics, votes, n).items():
+            if mass[w] > strength.get(w, 0.0):
+                weight[w], strength[w] = p, mass[w]
+    return weight
+
+
+def _counted(read: DataFrame, weight: dict[str, np.ndarray], known: set[str], n: int) -> dict[str, np.ndarray]:
+    """Per known word the documents by the subjects they have under weight, over all documents. Counts are summed up
+    per task first, so that what is shuffled and collected is a row per word and subject."""
+    shared = read.sparkSession.sparkContext.broadcast((weight, known))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, words = shared.value
+        total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n + 1))
+        for pdf in batches:
+            for t in pdf["prose"]:
+                got = subjects_of(t, w, n) or [n]
+                for x in words.intersection(_WORD.findall(t)):
+                    total[x][got] += 1 / len(got)
+        rows = [(x, i, float(v)) for x, p in total.items() for i, v in enumerate(p) if v]
+        yield pd.DataFrame(rows, columns=["word", "subject", "v"])
+
+    votes = read.select("prose").mapInPandas(work, "word string, subject int, v double").groupBy("word", "subject").agg(F.sum("v").alias("v"))
+    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n + 1))
+    for r in votes.collect():  # at most VOCABULARY * LANGUAGES words
+        out[r["word"]][r["subject"]] = r["v"]
+    return out
 
 
 def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, **fit) -> DataFrame:
@@ -172,8 +200,13 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
     spark = documents.sparkSession
     read = cut(documents.select("doc_id", F.lower("lang").alias("lang"), prose(F.col("text")).alias("prose")).filter("trim(prose) <> ''"))
     docs = read.select("doc_id", "lang", words_of(F.col("prose")).alias("words")).persist()
-    subjects, weight = subject_terms(docs, areas, labels, **fit)
+    subjects = sorted(r["subject"] for r in areas.select("subject").distinct().collect() if r["subject"])
+    models = fit_topics(docs, **fit) if subjects else []
+    weight = all_terms(models, _affinities(docs, labels, subjects), len(subjects)) if models else {}
     docs.unpersist()
+    if weight:  # the same inspection once more, now with what the topics say of all documents in the place of labels
+        known = {w for v, _ in models for w in v}
+        weight = all_terms(models, _counted(read, weight, known, len(subjects)), len(subjects))
     shared = spark.sparkContext.broadcast((subjects, weight))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
