@@ -81,7 +81,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (id, rep) and representatives (rep, sig) of texts (id, text) with enough tokens; text is a display_content."""
-    signed = cut(texts.mapInPandas(_signatures, "id long, c1 long, c2 long, sig array<int>").dropDuplicates(["id"]))
+    signed = cut(texts.filter("id IS NOT NULL").select("id", "text").mapInPandas(_signatures, "id long, c1 long, c2 long, sig array<int>").dropDuplicates(["id"]))
     reps = signed.groupBy("c1", "c2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep"))
     return signed.select("id", "c1", "c2").join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select("id", "rep"), reps.select("rep", "sig")
 
@@ -133,7 +133,7 @@ def similar_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     met = cut(met.join(sa, "a").join(sb, "b").filter(same >= MATCHES).select("a", "b"))
     needed = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    text = cut(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    text = cut(texts.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"]))
     ta, tb = text.select(F.col("id").alias("a"), F.col("text").alias("ta")), text.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     links = met.join(ta, "a").join(tb, "b").select("a", "b", _likeness("ta", "tb").alias("likeness")).filter(F.col("likeness") >= LIKENESS)
     return members, cut(links)
@@ -143,7 +143,7 @@ def similar_pairs(texts: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of texts (id, text) with likeness of at least 0.5, equal ones too.
 
     Texts that are null, without a fence or with fewer than 25 tokens are in no pair. Rows with an id seen
-    before are one row. Empty tables give no rows.
+    before are one row, rows without an id are left out. Empty tables give no rows.
     """
     members, links = similar_classes(texts)
     m1, m2 = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))

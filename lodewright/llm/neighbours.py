@@ -31,7 +31,7 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     """Rows (id, embedding) with dim finite elements, not all zero."""
     e = F.col("embedding")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return vectors.select("id", "embedding").filter((F.size(e) == dim) & F.forall(e, fine) & F.exists(e, lambda x: x != 0))
+    return vectors.select("id", "embedding").filter(F.col("id").isNotNull() & (F.size(e) == dim) & F.forall(e, fine) & F.exists(e, lambda x: x != 0))
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +98,7 @@ def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0
     shuffle, which gives the same as leaving them out at the end. queries, an SQL condition on id, names the
     vectors that get a list, against all. Ties go to the lesser id. Vectors that are null, of another length, with null,
     NaN or infinite elements, or all zero are neither query nor neighbour. Rows with an id seen before are one
-    row. Empty tables give no rows.
+    row, rows without an id are left out. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     signed = cut(usable(vectors).mapInPandas(_units, "id long, h1 long, h2 long, vec binary").dropDuplicates(["id"]))

@@ -95,16 +95,16 @@ def items_of(sizes: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, piece, token_start, size): one item per row (doc_id, n) with 0 < n; a larger one becomes full pieces and a rest."""
     n, k = F.col("n"), F.col("piece").cast("long")
     pieces = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / capacity).cast("int")))
-    out = sizes.filter("n > 0").select("doc_id", "n", pieces.alias("piece"))
+    out = sizes.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", pieces.alias("piece"))
     return out.select("doc_id", "piece", (k * capacity).alias("token_start"), F.least(F.lit(capacity).cast("long"), n - k * capacity).cast("int").alias("size"))
 
 
 def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, token_start, size, container, position) of sizes (doc_id, n): where each document or piece goes.
 
-    Documents of null, zero or negative size are left out; one of more than capacity is cut into full pieces
+    Documents without an id, or of null, zero or negative size, are left out; one of more than capacity is cut into full pieces
     and a rest, no other is cut. Containers count from 0, positions within one from 0. Repeated rows are items
-    of their own. Deterministic: ranks go by (doc_id, piece), null ids first. Empty tables give no rows.
+    of their own. Deterministic: ranks go by (doc_id, piece). Empty tables give no rows.
     """
     items = cut(items_of(sizes, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))))
     counts = items.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))

@@ -57,11 +57,11 @@ def parse_check(raw: DataFrame, files: DataFrame) -> DataFrame:
     """(raw_id, collection, repo, source_path, file_sha256, language, parsed_as, verdict): one row per file version of the five languages.
 
     verdict is valid, wrong_extension (parsed_as names the language that fits) or corrupt. Digests are in lower
-    case. Rows with null content, or whose path has no language or another one, are left out; rows delivered
+    case. Rows with null raw_id or content, or whose path has no language or another one, are left out; rows delivered
     twice are one row. Whole contents are parsed. Empty tables give no rows; extra columns are ignored.
     """
     known = path_languages(files).filter(F.col("language").isin(*LANGUAGES))
-    r = raw.select("raw_id", "collection", "repo", "source_path", F.lower("file_sha256").alias("file_sha256"), "content").filter("content IS NOT NULL")
+    r = raw.select("raw_id", "collection", "repo", "source_path", F.lower("file_sha256").alias("file_sha256"), "content").filter("content IS NOT NULL AND raw_id IS NOT NULL")
     r = r.join(known, ["collection", "repo", "source_path"]).select("raw_id", "collection", "repo", "source_path", "file_sha256", "language", "content")
     out = r.mapInPandas(_examine, "raw_id long, collection string, repo string, source_path string, file_sha256 string, language string, parsed_as string")
     verdict = F.when(F.col("parsed_as") == F.col("language"), "valid").when(F.col("parsed_as").isNotNull(), "wrong_extension").otherwise("corrupt")

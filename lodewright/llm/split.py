@@ -144,9 +144,9 @@ def split_records(records: DataFrame) -> DataFrame:
     Pieces count from 1 in order; text[char_new:char_end] of all pieces in order is the body, text[char_start:char_new]
     is repeated: the last 6 lines before, fewer if they and the next line do not fit. A line longer than the limit is
     cut after white space, or hard where there is none. Records with shorter, null or unfenced bodies have no pieces;
-    a null line_start counts as 1. Rows delivered twice give one set of pieces; empty tables none.
+    a null line_start counts as 1. Rows delivered twice give one set of pieces; rows without an id and empty tables none.
     """
-    long = records.select("id", "record_id", "line_start", "display_content").filter(F.length("display_content") > LIMIT).dropDuplicates(["id"])
+    long = records.select("id", "record_id", "line_start", "display_content").filter((F.length("display_content") > LIMIT) & F.col("id").isNotNull()).dropDuplicates(["id"])
     ranges = cut(long.mapInPandas(_body_ranges, _RANGES))
     w = Window.partitionBy("id").orderBy("rng")
     slim = ranges.filter(F.col("more") | ~F.col("first")).select("id", "rng", "n_lines")

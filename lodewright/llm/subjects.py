@@ -195,10 +195,10 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
     """(doc_id, subject): the subjects to which at least three sentences of a document are devoted.
 
     Null, empty and blank texts have none. Whole texts are read. Rows with a doc_id seen before give no second
-    row. Without labels, areas or documents there are no rows. Extra columns are ignored.
+    row, rows without one none. Without labels, areas or documents there are no rows. Extra columns are ignored.
     """
     spark = documents.sparkSession
-    read = cut(documents.select("doc_id", F.lower("lang").alias("lang"), prose(F.col("text")).alias("prose")).filter("trim(prose) <> ''"))
+    read = cut(documents.select("doc_id", F.lower("lang").alias("lang"), prose(F.col("text")).alias("prose")).filter("trim(prose) <> '' AND doc_id IS NOT NULL"))
     docs = read.select("doc_id", "lang", words_of(F.col("prose")).alias("words")).persist()
     subjects = sorted(r["subject"] for r in areas.select("subject").distinct().collect() if r["subject"])
     models = fit_topics(docs, **fit) if subjects else []

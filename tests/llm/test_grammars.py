@@ -60,7 +60,7 @@ def test_foreign_and_corrupt():
 
 def test_tables(spark):
     raw = spark.createDataFrame(
-        [(1, "c", "r", "a.py", "AA", "x = 1\n", "k"), (1, "c", "r", "a.py", "AA", "x = 1\n", "k"), (2, "c", "r", "a.py", "BB", "x = (\n", "k"), (3, "c", "r", "b.go", "cc", '{"a": 1}', "k"), (4, "c", "r", "nowhere.c", "dd", "int", "k"), (5, "c", "r", "a.py", "ee", None, "k"), (6, "c", "r", "d.md", "ff", "(", "k")],
+        [(1, "c", "r", "a.py", "AA", "x = 1\n", "k"), (1, "c", "r", "a.py", "AA", "x = 1\n", "k"), (2, "c", "r", "a.py", "BB", "x = (\n", "k"), (3, "c", "r", "b.go", "cc", '{"a": 1}', "k"), (4, "c", "r", "nowhere.c", "dd", "int", "k"), (5, "c", "r", "a.py", "ee", None, "k"), (6, "c", "r", "d.md", "ff", "(", "k"), (None, "c", "r", "a.py", "gg", "x = (", "k")],
         "raw_id long, collection string, repo string, source_path string, file_sha256 string, content string, language string",
     )
     files = spark.createDataFrame([("c", "r", "a.py", "python"), ("c", "r", "a.py", "python"), ("c", "r", "a.py", "go"), ("c", "r", "b.go", "go"), ("c", "r", "d.md", "doc"), (None, "r", "a.py", "c")], "collection string, repo string, source_path string, language string")

@@ -44,7 +44,7 @@ def brute(texts):
 def test_same_pairs_as_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(N, "HOT", hot)
     texts = corpus()
-    rows = [(i, t, "x", 1) for i, t in texts.items()] + [(1, texts[1], "x", 1), (1, texts[1], "x", 1)]
+    rows = [(i, t, "x", 1) for i, t in texts.items()] + [(1, texts[1], "x", 1), (1, texts[1], "x", 1), (None, texts[1], None, None)]
     df = spark.createDataFrame(rows, "id long, text string, sig string, rep int")
     got = [tuple(r) for r in N.similar_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(texts)

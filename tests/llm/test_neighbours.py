@@ -44,7 +44,7 @@ def test_visiting_all_is_exact(spark, monkeypatch, bin_size, queries):
     monkeypatch.setattr(N, "QUERIES", queries)
     monkeypatch.setattr(N, "PER_CELL", 20)
     rows, odd = data()
-    df = spark.createDataFrame([(*r, 0) for r in rows + odd + rows[:3]], "id long, embedding array<double>, rep int")
+    df = spark.createDataFrame([(*r, 0) for r in rows + odd + rows[:3] + [(None, rows[0][1])]], "id long, embedding array<double>, rep int")
     got = {}
     for r in N.nearest(df, 10, visit=10**6).collect():
         got.setdefault(r["id"], []).append((r["neighbour"], r["cosine"]))

@@ -37,7 +37,7 @@ def test_cuts_prefer_blank_lines_then_statements():
 
 def test_records(spark):
     long = "line of text here.\n" * 9000 + "x" * 5000
-    rows = [(1, "r1", 10, f"# t\n\n- Repo: `a`\n\n```\n{long}\n```"), (1, "r1", 10, f"# t\n\n- Repo: `a`\n\n```\n{long}\n```"), (2, "r2", None, "# t\n\n```\n" + "y" * 2400 + "\n```"), (3, "r3", 1, None), (4, "r4", None, "# t\n\n````c\n" + "é" * 2401 + "\n````")]
+    rows = [(1, "r1", 10, f"# t\n\n- Repo: `a`\n\n```\n{long}\n```"), (1, "r1", 10, f"# t\n\n- Repo: `a`\n\n```\n{long}\n```"), (2, "r2", None, "# t\n\n```\n" + "y" * 2400 + "\n```"), (3, "r3", 1, None), (None, "r5", 1, "# t\n\n```\n" + "y" * 2500 + "\n```"), (4, "r4", None, "# t\n\n````c\n" + "é" * 2401 + "\n````")]
     df = spark.createDataFrame(rows, "id long, record_id string, line_start int, display_content string")
     got = S.split_records(df).orderBy("id", "piece").collect()
     assert {r["id"] for r in got} == {1, 4}

@@ -23,7 +23,7 @@ def corpus():
         rnd.shuffle(text)
         docs.append((i, " ".join(text), "EN" if i % 9 else None, "x"))
         truth[i] = set(mine)
-    docs += [(9001, None, "en", "x"), (9002, "", None, "x"), (9003, "   \n", "en", "x"), (9004, "violin " * 20_000, "en", "x"), (9005, "```\nThe violin and the cello.\n```\n" * 9, "en", "x")]
+    docs += [(None, "violin and cello. " * 5, "en", "x"), (9001, None, "en", "x"), (9002, "", None, "x"), (9003, "   \n", "en", "x"), (9004, "violin " * 20_000, "en", "x"), (9005, "```\nThe violin and the cello.\n```\n" * 9, "en", "x")]
     return docs, truth
 
 

@@ -71,9 +71,9 @@ def test_counts_pack_as_single_items_do(sizes):
 
 
 def test_pack_whole(spark):
-    rows = [(i, (i * 37) % 90) for i in range(900)] + [(5000, 100), (5001, 101), (5002, 350), (5003, None), (5004, 0), (1, 7)] + [(6000 + i, 10) for i in range(500)]
+    rows = [(i, (i * 37) % 90) for i in range(900)] + [(5000, 100), (5001, 101), (5002, 350), (5003, None), (5004, 0), (None, 9), (1, 7)] + [(6000 + i, 10) for i in range(500)]
     got = pack(spark.createDataFrame(rows, "doc_id long, n long"), 100).collect()
-    want = sorted((d, n) for d, n in rows if n)
+    want = sorted((d, n) for d, n in rows if n and d is not None)
     per = {}
     for r in got:
         per.setdefault(r["container"], []).append(r)
