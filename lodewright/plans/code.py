@@ -14,15 +14,13 @@ LIKE = 0.3  # the operators' default is 0.6, at which these tables have hardly a
 
 
 def _definitions(spark, d, latest=True):
-    r = T.records(spark, d, "collection", "repo", "source_path", "file_sha256", "record_type", "record_id", "symbol", "symbol_kind", "line_start", "line_end").filter("record_type = 'symbol_definition'")
-    f = T.files(spark, d).select("snapshot_id", "collection", "repo", "source_path", "file_sha256").filter("file_sha256 IS NOT NULL")
-    if latest:
-        f = f.join(V.latest_scope(T.snapshots(spark, d)), "snapshot_id", "left_semi")
+    r = T.records(spark, d, "collection", "repo", "source_path", "file_sha256", "record_type", "record_id", "symbol", "symbol_kind", "line_start", "line_end", where="record_type = 'symbol_definition'")
+    f = T.files(spark, d, "collection", "repo", "file_sha256", scope=V.latest_scope(T.snapshots(spark, d)) if latest else None).filter("file_sha256 IS NOT NULL")
     return r.join(f, ["collection", "repo", "source_path", "file_sha256"])
 
 
 def _edges(spark, d):
-    return T.edges(spark, d).join(V.latest_scope(T.snapshots(spark, d)), "snapshot_id", "left_semi")
+    return T.edges(spark, d, scope=V.latest_scope(T.snapshots(spark, d)))
 
 
 def edge_resolve(spark, d):
@@ -38,7 +36,7 @@ def related_edges_any(spark, d):
 
 
 def blast_radius(spark, d):
-    tests = T.files(spark, d).select("snapshot_id", "source_path", "is_test")
+    tests = T.files(spark, d, "is_test", scope=V.latest_scope(T.snapshots(spark, d)))
     return G.blast_radius(_definitions(spark, d), _edges(spark, d), tests)
 
 
@@ -97,7 +95,7 @@ def duplicate_names(spark, d):
 
 def context_map(spark, d):
     """Public symbols of source files that are no tests, per path."""
-    tests = T.files(spark, d).filter("is_source AND NOT coalesce(is_test, false)").select("snapshot_id", "source_path")
+    tests = T.files(spark, d, "is_source", "is_test", scope=V.latest_scope(T.snapshots(spark, d))).filter("is_source AND NOT coalesce(is_test, false)").select("snapshot_id", "source_path")
     s = _definitions(spark, d).filter("NOT startswith(symbol, '_') AND NOT contains(symbol, '.')").join(tests, ["snapshot_id", "source_path"], "left_semi")
     return s.groupBy("snapshot_id", "source_path").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
 

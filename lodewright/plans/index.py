@@ -18,8 +18,8 @@ lf AS (SELECT f.* FROM f JOIN latest USING (snapshot_id))
 """
 
 
-def latest_files(spark, d):
-    return T.files(spark, d).join(V.latest_scope(T.snapshots(spark, d)), "snapshot_id", "left_semi")
+def latest_files(spark, d, *cols):
+    return T.files(spark, d, *cols, scope=V.latest_scope(T.snapshots(spark, d)))
 
 
 def files_classify(spark, d):
@@ -37,7 +37,7 @@ def content_flags(spark, d):
 
 
 def file_signatures(spark, d):
-    f = T.files(spark, d)
+    f = T.files(spark, d, "file_sha256", "git_blob_sha", "size_bytes", "skipped_reason")
     return f.select("snapshot_id", "source_path", C.signature(F.col("file_sha256"), F.col("git_blob_sha"), F.col("size_bytes"), F.col("skipped_reason")).alias("signature"))
 
 
@@ -47,12 +47,12 @@ def collection_slugs(spark, d):
 
 def files_list_filtered(spark, d):
     """The file list tool: source files that are no tests, first 500 by path."""
-    f = latest_files(spark, d).filter("is_source AND NOT coalesce(is_test, false) AND skipped_reason IS NULL AND language = 'python'")
+    f = latest_files(spark, d, "repo", "language", "file_role", "size_bytes", "is_source", "is_test", "skipped_reason").filter("is_source AND NOT coalesce(is_test, false) AND skipped_reason IS NULL AND language = 'python'")
     return f.select("source_path", "repo", "language", "file_role", "size_bytes").orderBy("source_path", "repo").limit(500)
 
 
 def path_prefix_filter(spark, d):
-    f, p = T.files(spark, d), F.col("source_path")
+    f, p = T.files(spark, d, "id"), F.col("source_path")
     under = p.startswith("src/") | F.contains(p, F.lit("/src/"))
     exact = p.endswith("/README.md") | (p == "README.md")
     return f.filter(under | exact).groupBy("snapshot_id").agg(F.count_if(under).alias("n_under"), F.count_if(exact).alias("n_exact"))
@@ -60,7 +60,7 @@ def path_prefix_filter(spark, d):
 
 def _member(spark, d, cols, how="inner"):
     r = T.records(spark, d, "collection", "repo", "source_path", "file_sha256", *cols).withColumnRenamed("id", "record_pk")
-    f = T.files(spark, d).select("snapshot_id", "collection", "repo", "source_path", F.coalesce("file_sha256", F.lit("")).alias("file_sha256"), "is_test", "is_source", "is_generated")
+    f = T.files(spark, d, "collection", "repo", "file_sha256").withColumn("file_sha256", F.coalesce("file_sha256", F.lit("")))
     return r.join(f, ["collection", "repo", "source_path", "file_sha256"], how)
 
 
@@ -110,8 +110,7 @@ RECORD_KEY = ["collection", "repo", "source_path", "file_sha256", "record_type",
 
 def records_upsert_merge(spark, d):
     """Records of even ids merged with those of odd ids, by the content key; an embedding is kept if the new one is null."""
-    r = T.records(spark, d, *RECORD_KEY, "title", "summary", "embedding")
-    r = r.withColumn("has_embedding", F.when(F.col("embedding").isNotNull(), F.lit(True))).drop("embedding")
+    r = T.records(spark, d, *RECORD_KEY, "title", "summary", "CASE WHEN embedding IS NOT NULL THEN true END AS has_embedding")
     m = V.merge_latest(r.filter("id % 2 = 0"), r.filter("id % 2 = 1"), RECORD_KEY, "id", ["summary"], ("has_embedding",))
     return m.groupBy("record_type").agg(F.count(F.lit(1)).alias("n"), F.count("has_embedding").alias("n_embedded"), F.sum("id").alias("sum_id"), F.sum(F.length("summary")).alias("summary_chars"))
 
@@ -141,17 +140,17 @@ def edges_copy_forward(spark, d):
 def orphan_sweep(spark, d):
     """Records that no counting file row of any snapshot lists."""
     r = T.records(spark, d, "collection", "repo", "source_path", "file_sha256", "record_type")
-    f = T.files(spark, d).select("collection", "repo", "source_path", F.coalesce("file_sha256", F.lit("")).alias("file_sha256")).distinct()
+    f = T.files(spark, d, "collection", "repo", "file_sha256").select("collection", "repo", "source_path", F.coalesce("file_sha256", F.lit("")).alias("file_sha256")).distinct()
     return r.join(f, ["collection", "repo", "source_path", "file_sha256"], "left_anti").select("id", "record_type")
 
 
 def status_counts(spark, d):
-    r = T.records(spark, d, "collection", "repo", "record_type", "embedding")
-    return r.groupBy("collection", "repo", "record_type").agg(F.count(F.lit(1)).alias("n_records"), F.count("embedding").alias("n_embedded"))
+    r = T.records(spark, d, "collection", "repo", "record_type", "CASE WHEN embedding IS NOT NULL THEN 1 END AS e")
+    return r.groupBy("collection", "repo", "record_type").agg(F.count(F.lit(1)).alias("n_records"), F.count("e").alias("n_embedded"))
 
 
 def status_filtered_counts(spark, d):
-    f = latest_files(spark, d)
+    f = latest_files(spark, d, "collection", "repo", "skipped_reason", "is_untracked", "indexed_dirty", "is_generated", "size_bytes")
     return f.groupBy("collection", "repo").agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("skipped_reason").isNotNull()).alias("n_skipped"), F.count_if("is_untracked").alias("n_untracked"),
         F.count_if("indexed_dirty").alias("n_dirty"), F.count_if("is_generated").alias("n_generated"), F.sum("size_bytes").alias("n_bytes"),
@@ -164,7 +163,7 @@ def edges_by_type(spark, d):
 
 
 def language_breakdown(spark, d):
-    return latest_files(spark, d).groupBy("collection", "repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
+    return latest_files(spark, d, "collection", "repo", "language", "size_bytes").groupBy("collection", "repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
 
 
 def directory_breakdown(spark, d):
@@ -172,26 +171,26 @@ def directory_breakdown(spark, d):
     parts = F.split("repo_rel_path", "/")
     deep = F.least(F.lit(2), F.size(parts) - 1)
     where = F.when(F.size(parts) <= 1, ".").otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(deep, F.lit(1))), "/"))
-    return latest_files(spark, d).groupBy("repo", where.alias("directory")).agg(F.count(F.lit(1)).alias("n_files")).orderBy(F.desc("n_files"), "repo", "directory").limit(100)
+    return latest_files(spark, d, "repo", "repo_rel_path").groupBy("repo", where.alias("directory")).agg(F.count(F.lit(1)).alias("n_files")).orderBy(F.desc("n_files"), "repo", "directory").limit(100)
 
 
 def dimension_values(spark, d):
-    f = latest_files(spark, d)
+    f = latest_files(spark, d, "language", "file_role", "content_class")
     pair = F.inline(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("language", "file_role", "content_class")]))
     return f.select(pair).filter("value <> ''").distinct()
 
 
 def queryable_types(spark, d):
     """Per repo the record types without any embedding, and with some."""
-    r = T.records(spark, d, "collection", "repo", "record_type", "embedding")
-    t = r.groupBy("collection", "repo", "record_type").agg(F.count("embedding").alias("n"))
+    r = T.records(spark, d, "collection", "repo", "record_type", "CASE WHEN embedding IS NOT NULL THEN 1 END AS e")
+    t = r.groupBy("collection", "repo", "record_type").agg(F.count("e").alias("n"))
     every, some = F.collect_set("record_type"), F.collect_set(F.when(F.col("n") > 0, F.col("record_type")))
     g = t.groupBy("collection", "repo").agg(every.alias("a"), some.alias("s"))
     return g.select("collection", "repo", F.array_join(F.array_sort("s"), ",").alias("queryable"), F.array_join(F.array_sort(F.array_except("a", "s")), ",").alias("not_queryable"))
 
 
 def ingest_report(spark, d):
-    f = latest_files(spark, d)
+    f = latest_files(spark, d, "skipped_reason", "language", "content_class")
     pair = F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.coalesce(F.col(c), F.lit("-")).alias("value")) for c in ("skipped_reason", "language", "content_class")]))
     files = f.select(pair)
     r = T.records(spark, d, "record_type", "confidence_kind")
@@ -201,8 +200,8 @@ def ingest_report(spark, d):
 
 def embedding_contract(spark, d):
     """Distinct vector lengths per repo, and whether there is exactly one."""
-    r = T.records(spark, d, "collection", "repo", "embedding").filter("embedding IS NOT NULL")
-    g = r.groupBy("collection", "repo").agg(F.countDistinct(F.size("embedding")).alias("n_dims"), F.min(F.size("embedding")).alias("least_dim"), F.max(F.size("embedding")).alias("most_dim"))
+    r = T.records(spark, d, "collection", "repo", "size(embedding) AS dim", where="embedding IS NOT NULL")
+    g = r.groupBy("collection", "repo").agg(F.countDistinct("dim").alias("n_dims"), F.min("dim").alias("least_dim"), F.max("dim").alias("most_dim"))
     return g.withColumn("consistent", F.col("n_dims") == 1)
 
 
@@ -215,7 +214,7 @@ def text_percentiles(spark, d):
 
 def embedding_pending(spark, d):
     """Chunks and sections still without an embedding, with the text that would be sent, cut at 3000 characters."""
-    r = T.records(spark, d, "record_type", "embedding", "embedding_text").filter("record_type IN ('code_chunk', 'doc_section') AND embedding IS NULL")
+    r = T.records(spark, d, "record_type", "embedding_text", where="record_type IN ('code_chunk', 'doc_section') AND embedding IS NULL")
     text = F.when(F.length("embedding_text") > 3000, F.concat(F.rtrim(F.left("embedding_text", F.lit(2980))), F.lit("\n[truncated]"))).otherwise(F.col("embedding_text"))
     return r.select("id", "record_type", F.length(text).alias("n_chars"))
 

@@ -11,22 +11,28 @@ from lodewright.operators import versions as V
 from lodewright.plans.index import VIEWS
 
 COLS = ["collection", "repo", "source_path", "file_sha256", "file_role", "content_class", "record_type", "record_id", "parent_record_id", "title", "summary", "embedding_text", "display_content", "line_start", "line_end", "symbol", "symbol_kind", "updated_at"]
+_USABLE_VECTOR = "size(embedding) = 48 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
 QUERY, LIMIT = "emit_event store wallet", 40
 
 
-def latest_records(spark, d, *more):
-    """Records visible in the newest snapshot of their repo, one row each, with its flags."""
-    latest = V.latest_scope(T.snapshots(spark, d))
-    f = T.files(spark, d).join(latest, "snapshot_id", "left_semi").select("collection", "repo", "source_path", "file_sha256", "is_generated", "is_test").filter("file_sha256 IS NOT NULL")
-    return T.records(spark, d, *COLS, *more).join(f, ["collection", "repo", "source_path", "file_sha256"])
+def latest_records(spark, d, *more, where=None):
+    """Records visible in the newest snapshot of their repo, one row each, with its flags; only those where a condition on them holds."""
+    f = T.files(spark, d, "collection", "repo", "file_sha256", "is_generated", "is_test", scope=V.latest_scope(T.snapshots(spark, d))).filter("file_sha256 IS NOT NULL").drop("snapshot_id")
+    return T.records(spark, d, *COLS, *more, where=where).join(f, ["collection", "repo", "source_path", "file_sha256"])
+
+
+def _matching(spark, d, query, mode="any"):
+    """Records that search may return: what a search filters on is tested before anything is shuffled."""
+    terms = S.query_terms(query)
+    return latest_records(spark, d, where=S.all_terms(terms) if mode == "all" else S.any_terms(terms))
 
 
 def text_any_terms(spark, d):
-    return S.text_search(latest_records(spark, d), QUERY, LIMIT, "any").select("id", "rank", "match_score")
+    return S.text_search(_matching(spark, d, QUERY), QUERY, LIMIT, "any").select("id", "rank", "match_score")
 
 
 def text_all_terms(spark, d):
-    return S.text_search(latest_records(spark, d), "emit_event limit", LIMIT, "all").select("id", "match_score")
+    return S.text_search(_matching(spark, d, "emit_event limit", "all"), "emit_event limit", LIMIT, "all").select("id", "match_score")
 
 
 def text_match_score(spark, d):
@@ -47,18 +53,18 @@ def text_full(spark, d):
 
 
 def text_location_dedupe(spark, d):
-    top = S.text_search(latest_records(spark, d), QUERY, LIMIT, "any")
+    top = S.text_search(_matching(spark, d, QUERY), QUERY, LIMIT, "any")
     return S.location_dedupe(top, [F.desc("rank"), F.desc("match_score"), F.desc("updated_at"), F.desc("id")]).select("id", "record_type", "source_path", "line_start", "line_end")
 
 
 def text_snippet(spark, d):
-    r = T.records(spark, d, "display_content", "record_type").filter("record_type = 'code_chunk'")
+    r = T.records(spark, d, "display_content", where="record_type = 'code_chunk'")
     return r.select("id", S.snippet(F.col("display_content"), ["emit_event", "store"]).alias("snippet"))
 
 
 def record_fetch(spark, d):
     """Newest row of each asked record_id by (updated_at, id), with content cut at 400 characters and a flag."""
-    r = T.records(spark, d, "record_id", "updated_at", "display_content", "record_type").filter("record_type = 'doc_section'")
+    r = T.records(spark, d, "record_id", "updated_at", "display_content", where="record_type = 'doc_section'")
     one = V.newest_per(r, "record_id", order=("updated_at", "id"))
     return one.select("id", "record_id", F.left("display_content", F.lit(400)).alias("content"), (F.length("display_content") > 400).alias("truncated"))
 
@@ -84,20 +90,20 @@ def _vector(spark, d):
 
 
 def semantic_knn(spark, d):
-    r = T.records(spark, d, "embedding").filter("size(embedding) = 48 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    r = T.records(spark, d, "embedding", where=_USABLE_VECTOR)
     v = F.array(*[F.lit(float(x)) for x in _vector(spark, d)])
     out = r.select("id", (1 - M.cosine(F.col("embedding"), v)).alias("distance")).filter("distance IS NOT NULL").orderBy("distance", "id").limit(50)
     return out.select("id", F.round("distance", 6).alias("distance"))
 
 
 def semantic_blended_rank(spark, d):
-    r = latest_records(spark, d, "embedding").filter("size(embedding) = 48 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    r = latest_records(spark, d, "embedding", where=_USABLE_VECTOR)
     out = M.semantic_search(r, _vector(spark, d), "build and render wallet", {}, 30, diversify=False)
     return out.select("id", F.round("key", 6).alias("key"))
 
 
 def semantic_diversified(spark, d):
-    r = latest_records(spark, d, "embedding").filter("size(embedding) = 48 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    r = latest_records(spark, d, "embedding", where=_USABLE_VECTOR)
     return M.semantic_search(r, _vector(spark, d), "build and render wallet", {}, 30).select("id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -37,20 +37,29 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return one_per_id(table(spark, d, "project_code_intel_snapshots"))
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """Counting rows, digests in lower case."""
-    out = counting_files(table(spark, d, "project_code_intel_files"), *FILE_COLUMNS)
-    return out.withColumns({c: F.lower(c) for c in ("file_sha256", "git_blob_sha")})
+def files(spark: SparkSession, d: str, *cols: str, scope: DataFrame | None = None) -> DataFrame:
+    """Counting rows, digests in lower case; only cols if given, only the snapshots of scope (snapshot_id) if given.
+
+    What a choice among a path's rows does not need is neither read nor shuffled, so both are applied before it.
+    """
+    t = table(spark, d, "project_code_intel_files")
+    if scope is not None:
+        t = t.join(scope, "snapshot_id", "left_semi")
+    out = counting_files(t, *(cols or FILE_COLUMNS))
+    return out.withColumns({c: F.lower(c) for c in ("file_sha256", "git_blob_sha") if c in out.columns})
 
 
-def records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """One row per id, digests in lower case; only cols if given, so that no wide column is shuffled."""
+def records(spark: SparkSession, d: str, *cols: str, where=None) -> DataFrame:
+    """One row per id, digests in lower case; only cols, names or expressions, if given, and only rows where a condition
+    holds. Rows delivered twice are equal, so both are applied before they are made one, and no wide column is shuffled in vain."""
     t = table(spark, d, "project_code_intel_records")
-    out = one_per_id(t.select("id", *cols) if cols else t)
+    t = t if where is None else t.filter(where)
+    out = one_per_id(t.selectExpr("id", *cols) if cols else t)
     return out.withColumn("file_sha256", F.lower("file_sha256")) if "file_sha256" in out.columns else out
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """One row per id, empty keys as null."""
-    t = one_per_id(table(spark, d, "project_code_intel_edges"))
+def edges(spark: SparkSession, d: str, scope: DataFrame | None = None) -> DataFrame:
+    """One row per id, empty keys as null; only the snapshots of scope (snapshot_id) if given."""
+    t = table(spark, d, "project_code_intel_edges")
+    t = one_per_id(t if scope is None else t.join(scope, "snapshot_id", "left_semi"))
     return t.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("source_record_id", "target_record_id", "source_symbol", "target_symbol", "target_path")})
