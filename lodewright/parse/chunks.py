@@ -161,6 +161,11 @@ def records_of(path: str, language: str, text: str) -> list[tuple]:
         found = []
     out: list[tuple] = []
     covered: set[int] = set()
+    blocks = kconfig_records(text) if language == "kconfig" else make_records(text) if language == "make" else []
+    for name, kind, a, b, body, refs in blocks:
+        out.append(("config_symbol" if language == "kconfig" else kind, f"{path}::{kind}::{name}::{a:06d}", None, name, kind, a, b, body, refs))
+        covered.update(range(a, b + 1))
+    found = found if not blocks else []
     for name, kind, a, b in found:
         body = "\n".join(lines[a - 1 : b])
         rid = f"{path}::{kind}::{name}::{a:06d}"
@@ -169,7 +174,7 @@ def records_of(path: str, language: str, text: str) -> list[tuple]:
         for w in line_windows(list(enumerate(lines[a - 1 : b], a))):
             out.append(("code_chunk", f"{path}::chunk::{w[0][0]:06d}-{w[-1][0]:06d}", rid, name, kind, w[0][0], w[-1][0], "\n".join(x for _, x in w), []))
         covered.update(range(a, b + 1))
-    if not found:
+    if not found and not blocks:
         for w in line_windows(list(enumerate(lines, 1))):
             body = "\n".join(x for _, x in w)
             if body.strip():
@@ -257,3 +262,43 @@ def scan_security(files: DataFrame) -> DataFrame:
 
 def scan_patches(files: DataFrame) -> DataFrame:
     return files.select("file_id", "path", "language", "text").mapInPandas(_map(lambda p, k, t: patch_records(t), ["file", "line_start", "line_end", "hunk"]), "file_id long, file string, line_start int, line_end int, hunk string")
+
+
+def kconfig_records(text: str) -> list[tuple[str, str, int, int, str, list[str]]]:
+    """(symbol, kind, first line, last line, body, symbols it depends on or selects) of config and menuconfig blocks."""
+    lines = text.split("\n")
+    heads = [(i, m) for i, x in enumerate(lines) if (m := re.match(r"^\s*(config|menuconfig|choice|menu|endmenu|endchoice|if|endif|source|comment)\b\s*(\w*)", x))]
+    out = []
+    for (i, m), nxt in zip(heads, [*(h[0] for h in heads[1:]), len(lines)]):
+        if m[1] in ("config", "menuconfig") and m[2]:
+            body = "\n".join(lines[i:nxt]).rstrip()
+            refs = re.findall(r"\b[A-Z][A-Z0-9_]+\b", "\n".join(re.findall(r"(?m)^\s*(?:depends on|select|imply|default .* if)\s+(.*)$", body)))
+            out.append((f"CONFIG_{m[2]}", m[1], i + 1, i + 1 + body.count("\n"), body, sorted(set(refs))))
+    return out
+
+
+def make_records(text: str) -> list[tuple[str, str, int, int, str, list[str]]]:
+    """(name, kind, first line, last line, body, names used) of define blocks, top-level assignments and targets of a Makefile."""
+    lines = text.split("\n")
+    out, i = [], 0
+    while i < len(lines):
+        start = i
+        if m := re.match(r"^define\s+(\S+)", lines[i]):
+            while i < len(lines) - 1 and not re.match(r"^endef\b", lines[i]):
+                i += 1
+            kind, name = "make_define", m[1]
+        elif m := re.match(r"^([A-Za-z_][\w.-]*)\s*(?:\?|:|\+|::)?=", lines[i]):
+            while i < len(lines) - 1 and lines[i].endswith("\\"):
+                i += 1
+            kind, name = "make_assignment", m[1]
+        elif m := re.match(r"^([\w./%$(){}-]+(?:\s+[\w./%$(){}-]+)*)\s*:(?!=)", lines[i]):
+            while i < len(lines) - 1 and lines[i + 1].startswith("\t"):
+                i += 1
+            kind, name = "make_target", m[1]
+        else:
+            i += 1
+            continue
+        body = "\n".join(lines[start : i + 1])
+        out.append((name, kind, start + 1, i + 1, body, sorted(set(re.findall(r"\$[({](\w+)[)}]", body)))))
+        i += 1
+    return out

@@ -43,6 +43,14 @@ def test_brace_records():
     assert [d[:4] for d in C.brace_definitions(c, "c")] == [("add", "function", 1, 5)]
 
 
+def test_kconfig_and_make():
+    k = 'menu "x"\nconfig NET\n\tbool "net"\n\tdepends on PCI && !USB\n\tselect CRC\nendmenu\n'
+    got = C.records_of("Kconfig", "kconfig", k)
+    assert [(r[0], r[3], r[5], r[6], r[8]) for r in got][0] == ("config_symbol", "CONFIG_NET", 2, 5, ["CRC", "PCI", "USB"])
+    m = "A := 1\nB = $(A) \\\n  c\ndefine Pkg/x\n  $(B)\nendef\nall: x\n\techo $(A)\n"
+    assert [(r[3], r[4], r[5], r[6], r[8]) for r in C.records_of("Makefile", "make", m)][:4] == [("A", "make_assignment", 1, 1, []), ("B", "make_assignment", 2, 3, ["A"]), ("Pkg/x", "make_define", 4, 6, ["B"]), ("all", "make_target", 7, 8, ["A"])]
+
+
 def test_patch_and_security():
     patch = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@ f\n-a\n+b\n@@ -9 +9 @@\n c\n"
     assert [h[0:1] + h[3:] for h in C.patch_records(patch)] == [("x", "@@ -1,2 +1,2 @@ f"), ("x", "@@ -9 +9 @@")]
