@@ -30,16 +30,23 @@ from lodewright.session import cut
 
 VOCABULARY, LABELLED, TOPICS, ROUNDS, BATCH, LANGUAGES = 4000, 20_000, 24, 30, 20_000, 8
 SENTENCES, TERMS = 3, 2
-_CODE = r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)"
-_NAMES = r"`[^`\n]*`|(?<!\S)[^\s`_/\\@#<>{}=\d]*+[_/\\@#<>{}=\d]\S*+"  # possessive: linear in long tokens
+_CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
+_QUOTED = re.compile(r"`[^`\n]*`")
+_MARKS = frozenset("_/\\@#<>{}=0123456789")  # fixed value: characters of names, paths and numbers
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?;:](?=\s|$)|\n+|\|")
 _JOIN = frozenset("of de du des del la le les der d l à".split())  # fixed value: words inside terms
 
 
-def prose(text) -> F.Column:
-    """The text in lower case without code blocks, quoted names, paths and numbers."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), _CODE, "\n"), _NAMES, " ")
+def prose(text: str) -> str:
+    """The text in lower case without code blocks, quoted names, and tokens with marks of names, paths or numbers."""
+    text = _QUOTED.sub(" ", _CODE.sub("\n", text.lower()))
+    return "\n".join(" ".join([w for w in line.split() if _MARKS.isdisjoint(w)]) for line in text.split("\n"))
+
+
+def _prose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(prose=[prose(t) for t in pdf["text"]]).drop(columns="text")
 
 
 def words_of(prose_column) -> F.Column:
@@ -51,37 +58,67 @@ def sentences(text: str) -> list[list[str]]:
     return [w for s in _SENTENCE.split(text) if (w := _WORD.findall(s))]
 
 
-def terms_of(words: list[str], weight: dict[str, np.ndarray], lean: np.ndarray) -> np.ndarray:
-    """How many terms of each subject a sentence names; lean weighs the subjects of ambiguous words."""
-    n = np.zeros(len(lean))
-    last = -1
-    for w in words:
-        p = weight.get(w)
-        if p is None:
-            last = last if w in _JOIN else -1
-            continue
-        p = p * lean
-        s = int(p.argmax())
-        if p[s] <= 0 or p[s] < 0.5 * p.sum():
-            last = -1
-            continue
-        if s != last:
-            n[s] += 1
-        last = s
-    return n
-
-
-def subjects_of(text: str, weight: dict[str, np.ndarray], n_subjects: int) -> list[int]:
-    parts = sentences(text)
-    found = [weight[w] for p in parts for w in p if w in weight]
-    if len(found) < SENTENCES * TERMS:
-        return []
-    lean = np.sum(found, axis=0) + 0.05
-    lean /= lean.sum()
-    count = np.zeros(n_subjects)
-    for p in parts:
-        count += terms_of(p, weight, lean) >= TERMS
-    return [int(s) for s in np.flatnonzero(count >= SENTENCES)]
+class Terms:
+    """Words with weights of subjects: most have one subject, mixed ones are told apart by what the document leans to."""
+
+    def __init__(self, weight: dict[str, np.ndarray], n: int):
+        self.n = n
+        self.sure = {w: int(p.argmax()) for w, p in weight.items() if (p > 0).sum() == 1}
+        self.mixed = {w: p for w, p in weight.items() if w not in self.sure}
+
+    def named(self, words: list[str], lean: np.ndarray) -> list[int]:
+        """The subject of each term of a sentence; adjacent words of a subject are one term."""
+        out, last = [], -1
+        for w in words:
+            s = self.sure.get(w, -1)
+            if s < 0:
+                if (p := self.mixed.get(w)) is None:
+                    last = last if w in _JOIN else -1
+                    continue
+                p = p * lean
+                s = int(p.argmax())
+                if p[s] <= 0 or p[s] < 0.5 * p.sum():
+                    last = -1
+                    continue
+            if s != last:
+                out.append(s)
+            last = s
+        return out
+
+    def subjects_of(self, text: str) -> list[int]:
+        parts = sentences(text)
+        lean = np.full(self.n, 0.05)
+        found = 0
+        for words in parts:
+            for w in words:
+                s = self.sure.get(w, -1)
+                if s >= 0:
+                    lean[s] += 1
+                    found += 1
+                elif (p := self.mixed.get(w)) is not None:
+                    lean += p
+                    found += 1
+        if found < SENTENCES * TERMS:
+            return []
+        lean /= lean.sum()
+        count = [0] * self.n
+        for words in parts:
+            named = self.named(words, lean)
+            if len(named) >= TERMS:
+                for s in set(named):
+                    count[s] += named.count(s) >= TERMS
+        return [s for s, c in enumerate(count) if c >= SENTENCES]
+
+
+def leanings(terms: Terms, text: str) -> list[int] | None:
+    """Subjects of which a text names three terms or more; none if it names no term at all, None if it names few."""
+    even = np.ones(terms.n)
+    count = np.zeros(terms.n)
+    for words in sentences(text):
+        for s in terms.named(words, even):
+            count[s] += 1
+    many = [int(s) for s in np.flatnonzero(count >= 3)]
+    return many if many or not count.any() else None
 
 
 def _topics(docs: DataFrame, n: int, topics: int, rounds: int, seed: int):
@@ -169,16 +206,18 @@ def all_terms(models: list[tuple[list[str], np.ndarray]], votes: dict[str, np.nd
 
 
 def _counted(read: DataFrame, weight: dict[str, np.ndarray], known: set[str], n: int) -> dict[str, np.ndarray]:
-    """Per known word the documents by the subjects they have under weight, over all documents. Counts are summed up
+    """Per known word the documents by the subjects they lean to under weight, over all documents. Counts are summed up
     per task first, so that what is shuffled and collected is a row per word and subject."""
-    shared = read.sparkSession.sparkContext.broadcast((weight, known))
+    shared = read.sparkSession.sparkContext.broadcast((Terms(weight, n), known))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, words = shared.value
+        terms, words = shared.value
         total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n + 1))
         for pdf in batches:
             for t in pdf["prose"]:
-                got = subjects_of(t, w, n) or [n]
+                if (got := leanings(terms, t)) is None:
+                    continue
+                got = got or [n]
                 for x in words.intersection(_WORD.findall(t)):
                     total[x][got] += 1 / len(got)
         rows = [(x, i, float(v)) for x, p in total.items() for i, v in enumerate(p) if v]
@@ -198,7 +237,8 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
     row, rows without one none. Without labels, areas or documents there are no rows. Extra columns are ignored.
     """
     spark = documents.sparkSession
-    read = cut(documents.select("doc_id", F.lower("lang").alias("lang"), prose(F.col("text")).alias("prose")).filter("trim(prose) <> '' AND doc_id IS NOT NULL"))
+    read = documents.select("doc_id", F.lower("lang").alias("lang"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    read = cut(read.mapInPandas(_prose, "doc_id long, lang string, prose string").filter("trim(prose) <> ''"))
     docs = read.select("doc_id", "lang", words_of(F.col("prose")).alias("words")).persist()
     subjects = sorted(r["subject"] for r in areas.select("subject").distinct().collect() if r["subject"])
     models = fit_topics(docs, **fit) if subjects else []
@@ -207,12 +247,12 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
     if weight:  # the same inspection once more, now with what the topics say of all documents in the place of labels
         known = {w for v, _ in models for w in v}
         weight = all_terms(models, _counted(read, weight, known, len(subjects)), len(subjects))
-    shared = spark.sparkContext.broadcast((subjects, weight))
+    shared = spark.sparkContext.broadcast((subjects, Terms(weight, len(subjects))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, w = shared.value
+        names, terms = shared.value
         for pdf in batches:
-            rows = [(i, names[s]) for i, t in zip(pdf["doc_id"], pdf["prose"]) for s in subjects_of(t, w, len(names))]
+            rows = [(i, names[s]) for i, t in zip(pdf["doc_id"], pdf["prose"]) for s in terms.subjects_of(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "subject"])
 
     return read.select("doc_id", "prose").mapInPandas(assign, "doc_id long, subject string").distinct()

@@ -44,12 +44,11 @@ def test_sentences_and_terms():
 
     w = {"violin": np.array([1.0, 0]), "piano": np.array([1.0, 0]), "roll": np.array([1.0, 0]), "herd": np.array([0, 1.0]), "hold": np.array([0.5, 0.5])}
     assert S.sentences("a b. c\nd | e") == [["a", "b"], ["c"], ["d"], ["e"]]
-    lean = np.array([0.9, 0.1])
-    assert S.terms_of("the piano roll and the violin hold".split(), w, lean).tolist() == [2, 0]
-    assert S.terms_of("the piano of roll herd".split(), w, lean).tolist() == [1, 1]
-    assert S.subjects_of("violin with piano. " * 3, w, 2) == [0] and S.subjects_of("violin with piano. " * 2 + "herd with herd", w, 2) == []
+    terms, lean = S.Terms(w, 2), np.array([0.9, 0.1])
+    assert terms.named("the piano roll and the violin hold".split(), lean) == [0, 0]
+    assert terms.named("the piano of roll herd".split(), lean) == [0, 1]
+    assert terms.subjects_of("violin with piano. " * 3) == [0] and terms.subjects_of("violin with piano. " * 2 + "herd with herd") == []
 
 
-def test_long_tokens_take_linear_time(spark):
-    df = spark.createDataFrame([("x" * 400_000 + " violin a/b c_d `q r` 12 end. `open",)], "t string")
-    assert df.select(S.prose(df["t"])).first()[0].split() == ["x" * 400_000, "violin", "end.", "`open"]
+def test_prose_takes_linear_time():
+    assert S.prose("X" * 400_000 + " violin a/b c_d `q r` 12 End. `open\n```\ncode\n```\nnext").split() == ["x" * 400_000, "violin", "end.", "`open", "next"]
