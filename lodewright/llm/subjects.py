@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
@@ -132,7 +133,10 @@ def _topics(docs: DataFrame, n: int, topics: int, rounds: int, seed: int):
         return None
     share = min(1.0, max(BATCH / n, 1.5 / rounds))  # every document about 1.5 times at least
     lda = LDA(k=topics, maxIter=rounds, optimizer="online", subsamplingRate=share, featuresCol="counts", docConcentration=[0.05] * topics, topicConcentration=0.02, optimizeDocConcentration=False, learningOffset=16.0, seed=seed)
-    return model.vocabulary, lda.fit(model.transform(docs).select("counts")).topicsMatrix().toArray()
+    counts = model.transform(docs).select("counts").persist(StorageLevel.MEMORY_AND_DISK)  # every round samples from it
+    weights = lda.fit(counts).topicsMatrix().toArray()
+    counts.unpersist()
+    return model.vocabulary, weights
 
 
 def _affinities(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> dict[str, np.ndarray]:
