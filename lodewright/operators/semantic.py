@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ VALIDATION = frozenset("validate validated validates validating validation valid
 SUPPLEMENTAL = ("generate", "render", "build", "add", "config", "configuration", "template")
 WEIGHTS = {"executable": 0.12, "structural": 0.18, "validation": 0.16, "source_role": 0.16, "non_source": 0.18, "generated": 0.24, "tiny": 0.35, "score": 0.01}
 LOW_MATCH = 0.40
+QUERIES, VECTORS = 4096, 8192
 
 
 def dot(a, b) -> Column:
@@ -99,16 +102,69 @@ def pairwise_by_group(df: DataFrame, group: str, key: str, vector: str) -> DataF
     return g.select(group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"), ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
 
 
+def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """cosine() of rows, summed element by element in its order, so that copies of a vector have equal values."""
+    dot, qq, vv = (np.zeros(len(q)) for _ in range(3))
+    for i in range(q.shape[1]):
+        dot += q[:, i] * v[:, i]
+        qq += q[:, i] * q[:, i]
+        vv += v[:, i] * v[:, i]
+    n = np.sqrt(qq) * np.sqrt(vv)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n == 0, np.nan, dot / n)
+
+
+def _nearest_of(k: int, most_distance: float | None):
+    """The k nearest of a block of vectors for each of a block of queries. A product of matrices leaves out what is
+    farther than the k-th by more than its rounding; the rest is summed as in cosine()."""
+
+    def by_length(ids: pd.Series, vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        n, ids = vectors.str.len().to_numpy(), ids.to_numpy()
+        return {m: (ids[n == m], np.stack([np.asarray(x, np.float64) for x in vectors[n == m]])) for m in np.unique(n)}
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            queries, vectors = by_length(left["query_id"], left["qvec"]), by_length(right["id"], right["vec"])
+            for m in queries.keys() & vectors.keys():
+                (qid, q), (vid, v) = queries[m], vectors[m]
+                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                for lo in range(0, len(q), 256):
+                    part, own = q[lo : lo + 256], qid[lo : lo + 256]
+                    far = 1 - (part / np.linalg.norm(part, axis=1, keepdims=True)) @ unit.T
+                    far[own[:, None] == vid] = np.inf
+                    bound = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(v) else np.full(len(part), np.inf)
+                    near = far <= (bound if most_distance is None else np.minimum(bound, most_distance))[:, None] + 1e-9
+                    i, j = np.nonzero(near & (far < np.inf))
+                    distance = 1 - _cosines(part[i], v[j])
+                    kept = distance <= (np.inf if most_distance is None else most_distance)
+                    i, j, distance = i[kept], j[kept], distance[kept]
+                    order = np.lexsort((vid[j], distance, i))
+                    i, j, distance = i[order], j[order], distance[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    found.append(pd.DataFrame({"query_id": own[i[best]], "id": vid[j[best]], "distance": distance[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
+
+    return meet
+
+
 def nearest_to(queries: DataFrame, vectors: DataFrame, k: int, most_distance: float | None = None) -> DataFrame:
-    """(query_id, id, distance): the k nearest vectors of each of a stated, small set of query vectors, exact.
+    """(query_id, id, distance, place): the k nearest vectors of each query vector, exact, for any number of queries.
 
-    queries (query_id, qvec) is a bounded set, checked to be at most 1,000 rows, and broadcast to one pass over vectors (id, vec).
+    queries (query_id, qvec) and vectors (id, vec) meet block by block, at most about QUERIES and VECTORS rows of them
+    at once. Vectors that have null, NaN or infinite elements or are all zero are neither query nor neighbour.
     """
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("more than 1,000 query vectors: use an index")
-    both = vectors.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
-    both = both.select("query_id", "id", (1 - cosine(F.col("qvec"), F.col("vec"))).alias("distance")).filter("distance IS NOT NULL")
-    if most_distance is not None:
-        both = both.filter(F.col("distance") <= most_distance)
+
+    def blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+        fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+        return df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(key).isNotNull() & F.forall(vector, fine) & F.exists(vector, lambda x: x != 0))
+
+    q, v = blocks(queries, "query_id", "qvec"), blocks(vectors, "id", "vec")
+    n_q, n_v = max(1, -(-q.count() // QUERIES)), max(1, -(-v.count() // VECTORS))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", part("query_id", n_q)).withColumn("vb", each(n_v))
+    v = v.withColumn("vb", part("id", n_v)).withColumn("qb", each(n_q))
+    near = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(_nearest_of(k, most_distance), "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -112,31 +112,46 @@ def pairwise_cosine_by_label(spark, d):
     return M.pairwise_by_group(e, "label", "vec_id", "embedding").select("label", "n_pairs", F.round("mean_cosine", 9).alias("mean_cosine"))
 
 
-def _neighbours(spark, d, k, most):
+_SQL_SET, WHOLE_SET = "vec_id < 20", "vec_id % 100 = 0"  # which vectors ask: those of the given SQL, and the stated search set
+
+
+def _neighbours(spark, d, k, most, asks):
     e = T.table(spark, d, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.filter(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return M.nearest_to(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), k, most)
 
 
-def neighbours_threshold(spark, d):
-    return _neighbours(spark, d, 10, 0.7).select("query_id", "id", F.round("distance", 6).alias("distance"))
+def neighbours_threshold(spark, d, asks=_SQL_SET):
+    return _neighbours(spark, d, 10, 0.7, asks).select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
-def addside_nearest(spark, d):
+def addside_nearest(spark, d, asks=_SQL_SET):
     """The four nearest of each new definition under the gate, then the three best over all."""
-    near = _neighbours(spark, d, 4, 0.75)
+    near = _neighbours(spark, d, 4, 0.75, asks)
     return near.orderBy("distance", "query_id", "id").limit(3).select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
-def semantic_low_match(spark, d):
+def semantic_low_match(spark, d, asks=_SQL_SET):
     """Queries whose best neighbour is below the similarity that tells of a match."""
-    near = _neighbours(spark, d, 1, None)
+    near = _neighbours(spark, d, 1, None, asks)
     return near.select("query_id", (1 - F.col("distance") < M.LOW_MATCH).alias("low_match"))
 
 
+def neighbours_threshold_all(spark, d):
+    return neighbours_threshold(spark, d, WHOLE_SET)
+
+
+def addside_nearest_all(spark, d):
+    return addside_nearest(spark, d, WHOLE_SET)
+
+
+def semantic_low_match_all(spark, d):
+    return semantic_low_match(spark, d, WHOLE_SET)
+
+
 QUERIES = {f.__name__: f for f in (
     text_any_terms, text_all_terms, text_match_score, text_enumerate, text_planned, text_full, text_location_dedupe, text_snippet, record_fetch, metadata_filter, metadata_equals,
-    semantic_knn, semantic_blended_rank, semantic_diversified, pairwise_cosine_by_label, neighbours_threshold, addside_nearest, semantic_low_match)}
+    semantic_knn, semantic_blended_rank, semantic_diversified, pairwise_cosine_by_label, neighbours_threshold, addside_nearest, semantic_low_match, neighbours_threshold_all, addside_nearest_all, semantic_low_match_all)}
 
 _LR = VIEWS + ", lr AS (SELECT r.*, lf.is_generated FROM r JOIN lf ON lf.collection = r.collection AND lf.repo = r.repo AND lf.source_path = r.source_path AND lf.file_sha256 = r.file_sha256)"
 
@@ -182,3 +197,4 @@ SQL = {
     "addside_nearest": _NEAR + "SELECT query_id, id, round(distance, 6) distance FROM (SELECT * FROM n WHERE distance <= 0.75 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 4) ORDER BY n.distance, query_id, id LIMIT 3".replace("n.distance", "distance"),
     "semantic_low_match": _NEAR + "SELECT query_id, max(1 - distance) < 0.4 low_match FROM n GROUP BY 1",
 }
+SQL |= {f"{n}_all": SQL[n].replace("a.vec_id < 20", "a.vec_id % 100 = 0") for n in ("neighbours_threshold", "addside_nearest", "semantic_low_match")}

@@ -1,6 +1,9 @@
 import itertools
+import os
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodewright.functions import classify as C
@@ -202,3 +205,29 @@ def test_triage(spark):
     e = spark.createDataFrame([("o1", None, ["a", "b"], "dismissed"), ("o2", "s", ["x", "y", "w"], "open"), ("o3", "t", ["a", "b", "c"], "open"), ("same", "s", ["q"], "dismissed")], "id string, scope string, members array<string>, status string")
     assert [tuple(r) for r in X.reconcile(c, e).collect()] == [("n1", "o1")]
     assert sorted(tuple(r) for r in X.triage_summary(c, e, True).collect()) == [("n1", "open"), ("n2", "open"), ("n3", "open"), ("o1", "fixed"), ("o2", "fixed"), ("o3", "fixed"), ("same", "dismissed")]
+
+
+def test_nearest_of_more_than_a_thousand_queries(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(1300)]
+    rows += [(1300 + i, rows[i][1]) for i in range(9)] + [(1400, None), (1401, [0.0] * 6), (1402, [1.0]), (1403, [2.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    q = v.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    pairs = v.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", (1 - V.cosine(F.col("qvec"), F.col("vec"))).alias("distance")).filter("distance IS NOT NULL AND distance <= 0.3")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    want = sorted(map(tuple, pairs.withColumn("place", place).filter("place <= 4").collect()))
+    monkeypatch.setattr(V, "QUERIES", 300)
+    monkeypatch.setattr(V, "VECTORS", 200)
+    assert sorted(map(tuple, V.nearest_to(q, v, 4, 0.3).collect())) == want and len({r[0] for r in want}) > 1000
+    assert V.nearest_to(q.filter("false"), v, 4).count() == V.nearest_to(q, v.filter("false"), 4).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", [n + s for n in ("neighbours_threshold", "addside_nearest", "semantic_low_match") for s in ("", "_all")])
+def test_neighbours_same_as_sql(spark, name):
+    import __spark_entry__ as entry
+    from lodewright.compare import difference, duck
+
+    d = "/root/testdata/sf0.001"
+    _, _, ours, theirs = difference(entry.queries()[name](spark, d), duck(d), entry.oracle_sql()[name])
+    assert not ours and not theirs
