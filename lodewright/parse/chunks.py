@@ -42,19 +42,27 @@ def line_windows(lines: list[tuple[int, str]], limit: int = MAX_CHARS, overlap:
     return out + [now] if now else out
 
 
-def brace_end(lines: list[str], start: int, most: int = 400) -> int | None:
-    """The line where the block that opens at or soon after start closes; strings and comments are passed over."""
+_MARK = re.compile(r"""[/"'`{};]""")
+_UNQUOTE = {q: re.compile(rf"[\\{q}]") for q in "\"'`"}
+
+
+def brace_end(lines: list[str], start: int) -> int | None:
+    """The line where the block that opens at or soon after start closes, however far; strings and comments are passed over."""
     depth, opened, comment, quote = 0, False, False, ""
-    for i in range(start, min(len(lines), start + most)):
+    for i in range(start, len(lines)):
         line, k = lines[i], 0
         while k < len(line):
-            two, c = line[k : k + 2], line[k]
             if comment:
                 k = line.find("*/", k)
                 if k < 0:
                     break
                 comment, k = False, k + 2
                 continue
+            m = (_UNQUOTE[quote] if quote else _MARK).search(line, k)
+            if not m:
+                break
+            k = m.start()
+            two, c = line[k : k + 2], line[k]
             if quote:
                 if c == "\\":
                     k += 1

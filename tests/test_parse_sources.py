@@ -112,3 +112,12 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     n = L.run_to_table(L.windowed_counts(L.event_stream(spark, str(tmp_path / "e.parquet"), 1)), "append", "w")
     assert n.count() == 2  # only the first day has ended, an hour after the latest event
+
+
+def test_definitions_of_more_than_400_lines():
+    body = "".join(f"    m{i}() {{\n      f{i}('}}');\n    }}\n" for i in range(300))
+    found = C.brace_definitions(f"class Long {{\n{body}}}\nfunction after() {{\n}}\n", "javascript")
+    assert found[0] == ("Long", "class", 1, 902) and ("Long.m299", "method", 899, 901) in found and found[-1] == ("after", "function", 903, 904)
+    go = "func Long() {\n" + "\tcall()\n" * 5000 + "}\n"
+    kinds = {r[0]: r for r in C.records_of("a.go", "go", go)}
+    assert kinds["symbol_definition"][5:7] == (1, 5002) and kinds["symbol_definition"][8] == ["call"] and kinds["code_chunk"][3] == "Long"
