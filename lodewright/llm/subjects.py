@@ -9,8 +9,10 @@ Terms are inspected twice: first by labels, then by the subjects which that give
 A document's topic proportions, summed by subject, weigh its ambiguous terms. A sentence is devoted to a subject if
 it names at least two of its terms (adjacent words are one term); a subject of three such sentences is the document's.
 
-Bounded are the vocabulary (VOCABULARY terms a language, most frequent first) and the labelled documents inspected
-(LABELLED, by least hash). Counts, topics and assignment cover all documents.
+Bounded are the vocabulary of the topics (VOCABULARY terms a language, most frequent first) and the labelled documents inspected
+(LABELLED, by least hash). A word outside that vocabulary, be it too frequent or too rare for topics, is judged by the labels of its
+own language alone. Frequencies, topics and counts cover all distinct texts, so that a text posted again counts once; assignment covers
+all documents.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewright.session import cut
 
 VOCABULARY, LABELLED, TOPICS, ROUNDS, BATCH, LANGUAGES = 4000, 20_000, 24, 30, 20_000, 8
-SENTENCES, TERMS = 3, 2
+SENTENCES, TERMS, LIFT = 3, 2, 3
 _CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
 _QUOTED = re.compile(r"`[^`\n]*`")
 _MARKS = frozenset("_/\\@#<>{}=0123456789")  # fixed value: characters of names, paths and numbers
@@ -125,7 +127,7 @@ def leanings(terms: Terms, text: str) -> list[int] | None:
 def _topics(docs: DataFrame, n: int, topics: int, rounds: int, seed: int):
     """(vocabulary, words x topics weights) of docs (doc_id, words); None if no word is frequent enough.
 
-    Words of fewer than 0.05 % or more than 20 % of the documents tell no subject.
+    Words of fewer than 0.05 % or more than 20 % of the texts tell no topic; outside_terms judges them.
     """
     counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY, minDF=float(max(3, int(0.0005 * n))), maxDF=float(max(4, int(0.2 * n))))
     model = counter.fit(docs)
@@ -139,18 +141,53 @@ def _topics(docs: DataFrame, n: int, topics: int, rounds: int, seed: int):
     return model.vocabulary, weights
 
 
-def _affinities(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> dict[str, np.ndarray]:
-    """Per word: labelled documents by subject, one vote a document; the last place holds those without a subject."""
+def _affinities(read: DataFrame, labels: DataFrame, subjects: list[str], langs: list[str]) -> dict[str, dict[str, np.ndarray]]:
+    """Per language and word: labelled texts by subject, one vote a text however often it is posted; the last place holds those
+    without a subject. The word "" has the votes of all texts of the language."""
     one = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    votes = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(one), "doc_id")
-    share = F.explode("subjects").alias("subject")
-    votes = votes.select("word", share, (F.lit(1.0) / F.size("subjects")).alias("v")).groupBy("word", "subject").agg(F.sum("v").alias("v"))
-    total = votes.groupBy("word").agg(F.sum("v").alias("all")).filter(F.col("all") >= 2)
-    out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(subjects) + 1))
+    lang = F.when(F.col("lang").isin(*langs[1:]), F.col("lang")).otherwise(F.lit(langs[0])).alias("lang")
+    seen = read.join(F.broadcast(one), "doc_id").select(lang, "prose", "subjects", F.md5("prose").alias("key"))
+    seen = seen.withColumn("v", 1.0 / (F.size("subjects") * F.count(F.lit(1)).over(Window.partitionBy("lang", "key"))))
+    words = F.explode(F.array_append(F.array_distinct(words_of(F.col("prose"))), "")).alias("word")
+    votes = seen.select("lang", words, "subjects", "v").select("lang", "word", F.explode("subjects").alias("subject"), "v").groupBy("lang", "word", "subject").agg(F.sum("v").alias("v"))
+    total = votes.groupBy("word").agg(F.sum("v").alias("all")).filter("all >= 2 OR word = ''")
+    out: dict[str, dict[str, np.ndarray]] = defaultdict(lambda: defaultdict(lambda: np.zeros(len(subjects) + 1)))
     at = {s: i for i, s in enumerate(subjects)}
-    for r in votes.join(total, "word").select("word", "subject", "v").toLocalIterator():  # words of at most LABELLED documents
-        out[r["word"]][at.get(r["subject"], len(subjects))] += r["v"]
+    for r in votes.join(total, "word").select("lang", "word", "subject", "v").toLocalIterator():  # words of at most LABELLED documents
+        out[r["lang"]][r["word"]][at.get(r["subject"], len(subjects))] += r["v"]
+    return out
+
+
+def summed(votes: dict[str, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Votes of words over all languages."""
+    out: dict[str, np.ndarray] = {}
+    for own in votes.values():
+        for w, v in own.items():
+            out[w] = out[w] + v if w in out else v
+    return out
+
+
+def outside_terms(votes: dict[str, dict[str, np.ndarray]], inside: set[str], n: int) -> dict[str, np.ndarray]:
+    """Weights of subjects of the words that are in no vocabulary, by their labels alone: the surer the fewer texts have the word,
+    and at least LIFT times as likely in texts of the subject as in the other texts of the language, which words of any text are not."""
+    out: dict[str, np.ndarray] = {}
+    most: dict[str, float] = {}
+    for own in votes.values():
+        base = own.get("", np.zeros(n + 1))
+        for w, v in own.items():
+            total = v.sum()
+            if not w or w in inside or total < 3.5 or total <= most.get(w, 0.0):
+                continue
+            most[w] = total
+            out.pop(w, None)
+            p = v[:n] / (total + 1.5)
+            rest = base.sum() - base[:n]
+            lifted = v[:n] * rest >= LIFT * (total - v[:n]) * base[:n]
+            p = np.where(lifted & (rest > 0), p, 0.0)
+            if p.max() >= 0.45 + 0.3 / total**0.5:
+                keep = np.where(p >= 0.15, p, 0.0)
+                out[w] = keep / keep.sum()
     return out
 
 
@@ -182,12 +219,16 @@ def term_subjects(vocabulary: list[str], topics: np.ndarray, votes: dict[str, np
     return out
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS, seed: int = 11) -> list[tuple[list[str], np.ndarray]]:
-    """(vocabulary, words x topics weights) of each language of docs (doc_id, lang, words)."""
+def languages(docs: DataFrame) -> list[str]:
+    """Languages of docs that have models, the most common first."""
     sizes = [(r["count"], r["lang"]) for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not sizes:
         return []
-    named = [k for n, k in sizes if k and n >= max(50, 0.01 * sizes[0][0])] or [sizes[0][1] or ""]
+    return [k for n, k in sizes if k and n >= max(50, 0.01 * sizes[0][0])] or [sizes[0][1] or ""]
+
+
+def fit_topics(docs: DataFrame, named: list[str], topics: int = TOPICS, rounds: int = ROUNDS, seed: int = 11) -> list[tuple[list[str], np.ndarray]]:
+    """(vocabulary, words x topics weights) of each named language of docs (doc_id, lang, words)."""
     out = []
     for i, lang in enumerate(named):
         own = docs.filter(F.col("lang") == lang) if i else docs.filter((F.col("lang") == lang) | ~F.coalesce(F.col("lang"), F.lit("")).isin(*named[1:], lang))
@@ -210,7 +251,7 @@ def all_terms(models: list[tuple[list[str], np.ndarray]], votes: dict[str, np.nd
 
 
 def _counted(read: DataFrame, weight: dict[str, np.ndarray], known: set[str], n: int) -> dict[str, np.ndarray]:
-    """Per known word the documents by the subjects they lean to under weight, over all documents. Counts are summed up
+    """Per known word the texts by the subjects they lean to under weight, over all texts of read. Counts are summed up
     per task first, so that what is shuffled and collected is a row per word and subject."""
     shared = read.sparkSession.sparkContext.broadcast((Terms(weight, n), known))
 
@@ -243,15 +284,20 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
     spark = documents.sparkSession
     read = documents.select("doc_id", F.lower("lang").alias("lang"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     read = cut(read.mapInPandas(_prose, "doc_id long, lang string, prose string").filter("trim(prose) <> ''"))
-    docs = read.select("doc_id", "lang", words_of(F.col("prose")).alias("words")).persist()
+    texts = cut(read.withColumn("key", F.md5("prose")).dropDuplicates(["lang", "key"]).sortWithinPartitions("key").drop("key"))
+    docs = texts.select("doc_id", "lang", words_of(F.col("prose")).alias("words")).persist()
     subjects = sorted(r["subject"] for r in areas.select("subject").distinct().collect() if r["subject"])
-    models = fit_topics(docs, **fit) if subjects else []
-    weight = all_terms(models, _affinities(docs, labels, subjects), len(subjects)) if models else {}
+    n = len(subjects)
+    named = languages(docs) if subjects else []
+    models = fit_topics(docs, named, **fit)
     docs.unpersist()
-    if weight:  # the same inspection once more, now with what the topics say of all documents in the place of labels
-        known = {w for v, _ in models for w in v}
-        weight = all_terms(models, _counted(read, weight, known, len(subjects)), len(subjects))
-    shared = spark.sparkContext.broadcast((subjects, Terms(weight, len(subjects))))
+    votes = _affinities(read, labels, subjects, named) if named else {}
+    known = {w for v, _ in models for w in v}
+    outside = outside_terms(votes, known, n)
+    weight = all_terms(models, summed(votes), n) | outside
+    if weight:  # the same inspection once more, now with what the topics say of all texts in the place of labels
+        weight = all_terms(models, _counted(texts, weight, known, n), n) | outside
+    shared = spark.sparkContext.broadcast((subjects, Terms(weight, n)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, terms = shared.value

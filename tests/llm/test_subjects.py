@@ -52,3 +52,28 @@ def test_sentences_and_terms():
 
 def test_prose_takes_linear_time():
     assert S.prose("X" * 400_000 + " violin a/b c_d `q r` 12 End. `open\n```\ncode\n```\nnext").split() == ["x" * 400_000, "violin", "end.", "`open", "next"]
+
+
+def test_a_subject_or_text_of_a_third_of_the_documents(spark):
+    docs, truth = corpus()
+    docs = [x for x in docs if x[0] is not None and x[0] < 900]
+    rnd = random.Random(4)
+    for i in range(900, 1700):  # a subject of nearly half of all documents, its few terms in most of them
+        docs.append((i, " ".join(f"The {a} stays with the {b}." for a, b in (rnd.sample(["kernel", "compiler", "socket", "thread"], 2) for _ in range(5))) + " " + rnd.choice(PLAIN), "en", "x"))
+        truth[i] = {"software"}
+    copied = "The violin met the choir. A cello and the octave. The chord left the melody. Nothing else depends on it."
+    docs += [(i, copied, "en", "x") for i in range(2000, 3200)]
+    truth |= {i: {"music"} for i in range(2000, 3200)}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, subject string")
+    areas = spark.createDataFrame([(s, "d") for s in [*TERMS, "software"]], "subject string, description string")
+    labels = spark.createDataFrame([(i, s, "a") for i, t in truth.items() if i % 3 == 0 for s in (t or {"none"})], "doc_id long, subject string, annotator string")
+    got = {(r["doc_id"], r["subject"]) for r in S.document_subjects(df, areas, labels, topics=6, rounds=12).collect()}
+    want = {(i, s) for i, t in truth.items() for s in t}
+    assert len(got ^ want) <= 0.03 * len(want)
+
+
+def test_words_outside_the_vocabulary():
+    import numpy as np
+
+    v = {"en": {"": np.array([60.0, 20, 20]), "the": np.array([60.0, 20, 20]), "kernel": np.array([50.0, 0, 1]), "rare": np.array([0, 5.0, 0]), "twice": np.array([0, 2.0, 0]), "known": np.array([9.0, 0, 0])}}
+    assert {w: int(p.argmax()) for w, p in S.outside_terms(v, {"known"}, 2).items()} == {"kernel": 0, "rare": 1}
