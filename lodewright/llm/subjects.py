@@ -133,7 +133,7 @@ def _topics(docs: DataFrame, n: int, topics: int, rounds: int, seed: int):
     model = counter.fit(docs)
     if len(model.vocabulary) < topics:
         return None
-    share = min(1.0, max(BATCH / n, 1.5 / rounds))  # every document about 1.5 times at least
+    share = min(1.0, max(BATCH / n, 1.5 / rounds))  # 1.5 times a text on average at least; samples are independent, so some are never drawn
     lda = LDA(k=topics, maxIter=rounds, optimizer="online", subsamplingRate=share, featuresCol="counts", docConcentration=[0.05] * topics, topicConcentration=0.02, optimizeDocConcentration=False, learningOffset=16.0, seed=seed)
     counts = model.transform(docs).select("counts").persist(StorageLevel.MEMORY_AND_DISK)  # every round samples from it
     weights = lda.fit(counts).topicsMatrix().toArray()
