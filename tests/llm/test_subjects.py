@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 from lodewright.llm import subjects as S
 
 TERMS = {"music": "violin,cello,octave,chord,tempo,choir,melody,piano roll".split(","), "farming": "wheat,tractor,barley,silage,compost,hay bale,herd,pasture".split(",")}
@@ -39,19 +42,46 @@ def test_subjects_of_labelled_documents(spark):
     assert S.document_subjects(df.filter("doc_id < 0"), areas, labels).count() == 0
 
 
-def test_sentences_and_terms():
-    import numpy as np
+def tokens(text):
+    t = S.encode(text, {})
+    return np.zeros(int((t != 0).sum()), int), np.cumsum(t == 0)[t != 0], t[t != 0]
+
+
+def test_sentences():
+    assert [*S.sentences("a b. c\nx | e")] == [["a", "b"], ["c"], ["x"], ["e"]]
+    assert [*S.sentences("X" * 400_000 + " violin a/b c_d `q r` 12 End. `open\n```\ncode\n```\nnext")] == [["x" * 400_000, "violin", "end"], ["open"], ["next"]]
+    assert len(S.encode(" \n", {})) == 0
+
 
-    w = {"violin": np.array([1.0, 0]), "piano": np.array([1.0, 0]), "roll": np.array([1.0, 0]), "herd": np.array([0, 1.0]), "hold": np.array([0.5, 0.5])}
-    assert S.sentences("a b. c\nd | e") == [["a", "b"], ["c"], ["d"], ["e"]]
-    terms, lean = S.Terms(w, 2), np.array([0.9, 0.1])
-    assert terms.named("the piano roll and the violin hold".split(), lean) == [0, 0]
-    assert terms.named("the piano of roll herd".split(), lean) == [0, 1]
-    assert terms.subjects_of("violin with piano. " * 3) == [0] and terms.subjects_of("violin with piano. " * 2 + "herd with herd") == []
+def model(words, terms):
+    """A model of one language with one topic a subject."""
+    h = {w: int(S.encode(w, {})[0]) for w in words}
+    counts = pd.DataFrame({"lang": "en", "w": list(h.values()), "n": 30})
+    lex = S.Lexicon(counts, {"en": 1000})
+    order = sorted(h, key=h.get)
+    lam = np.array([[30.0 * terms[w][k] + 0.02 for k in range(2)] for w in order])
+    votes = np.array([[9.0 * terms[w][0], 9.0 * terms[w][1], 0.0] for w in order])
+    return S.Model(lex, [lam], [votes], np.array([100.0, 100.0, 800.0]))
 
 
-def test_prose_takes_linear_time():
-    assert S.prose("X" * 400_000 + " violin a/b c_d `q r` 12 End. `open\n```\ncode\n```\nnext").split() == ["x" * 400_000, "violin", "end.", "`open", "next"]
+def test_proportions_decide_subjects():
+    m = model(["violin", "piano", "roll", "herd", "hay", "hold"], {"violin": (1, 0), "piano": (1, 0), "roll": (1, 0), "herd": (0, 1), "hay": (0, 1), "hold": (0.5, 0.5)})
+    got = lambda t: [int(s) for _, ss in m.subjects(*tokens(t), 1) for s in ss]
+    assert got("violin with piano. " * 3) == [0] and got("violin with piano. " * 2 + "herd with hay.") == []
+    assert got("piano roll herd. " * 5) == []  # adjacent words are one term
+    assert got("violin with hold. " * 3) == [0] and got("herd with hold. " * 3) == [1]  # the document's proportions tell whose "hold" is
+    e = m.expected(0, np.zeros(8, int), m.lex.find(m.lex.words[0], tokens("violin piano violin roll violin piano herd hay")[2]), 1)[0]
+    assert 5 < e[0] < 7 and 1 < e[1] < 3
+
+
+def test_the_named_language_of_a_text_does_not_count():
+    h = lambda w: int(S.encode(w, {})[0])
+    rows = [("en", h(w), n) for w, n in (("violin", 40), ("house", 60), ("wald", 2))] + [("de", h(w), n) for w, n in (("geige", 30), ("wald", 40), ("violin", 3))]
+    rows += [("pt", h(w), n) for w, n in (("violin", 20), ("house", 30))]  # English under another name
+    lex = S.Lexicon(pd.DataFrame(rows, columns=["lang", "w", "n"]), {"en": 200, "de": 100, "pt": 99})
+    assert lex.langs == ["en", "de"]
+    t = [tokens(x)[2] for x in ("violin house", "geige wald violin", "unknown")]
+    assert lex.languages(np.repeat([0, 1, 2], [len(x) for x in t]), np.concatenate(t), 3).tolist() == [0, 1, 0]
 
 
 def test_a_subject_or_text_of_a_third_of_the_documents(spark):
@@ -72,8 +102,8 @@ def test_a_subject_or_text_of_a_third_of_the_documents(spark):
     assert len(got ^ want) <= 0.03 * len(want)
 
 
-def test_words_outside_the_vocabulary():
-    import numpy as np
-
-    v = {"en": {"": np.array([60.0, 20, 20]), "the": np.array([60.0, 20, 20]), "kernel": np.array([50.0, 0, 1]), "rare": np.array([0, 5.0, 0]), "twice": np.array([0, 2.0, 0]), "known": np.array([9.0, 0, 0])}}
-    assert {w: int(p.argmax()) for w, p in S.outside_terms(v, {"known"}, 2).items()} == {"kernel": 0, "rare": 1}
+def test_words_of_any_text_are_no_terms():
+    base, votes = np.array([60.0, 20, 20]), np.array([[50.0, 0, 1], [60, 20, 20], [0, 5, 0]])  # a frequent term, "the", a rare term
+    assert S.lifted(votes, base).tolist() == [[True, False], [False, False], [False, True]]
+    terms = S.term_subjects(np.ones((3, 2)), votes, np.zeros((2, 3)), base)
+    assert terms.argmax(axis=1).tolist() == [0, 0, 1] and terms.sum(axis=1).tolist() == [1, 0, 1]
