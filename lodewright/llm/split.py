@@ -1,10 +1,11 @@
 """Oversized texts cut into pieces under a limit, at natural boundaries, with an overlap.
 
-A text is worked on in ranges of RANGE characters (files: bytes), each with a halo of LIMIT characters on both
-sides. Every range has an anchor, the best boundary among its first LIMIT characters; since the halo shows the
-next range's first characters too, a worker knows both anchors between which it cuts, and the last lines before
-the first, without any other range. What ranges do not know is how many lines and pieces lie before them: their
-counts are stitched by prefix sums over (id, range). No group and no worker needs a whole file.
+A text is worked on in ranges of RANGE characters (files: FILE_RANGE bytes), each with a halo of LIMIT characters on both
+sides. Every range has an anchor, the best boundary among its first LIMIT characters, judged by a window of LIMIT
+characters on both sides of the range's begin that the range before it sees as well; so a worker knows both anchors
+between which it cuts, and the last lines before the first, without any other range. What ranges do not know is how
+many lines and pieces lie before them: their counts are stitched by prefix sums over (id, range). No group needs a whole
+text, and of a file no worker reads more than its range and the halos.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewright.llm.bodies import body_span
 from lodewright.session import cut
 
-LIMIT, OVERLAP_LINES, RANGE = 2400, 6, 1 << 16
+LIMIT, OVERLAP_LINES, RANGE, FILE_RANGE = 2400, 6, 1 << 13, 1 << 20
 HARD, SPACE, LINE, STATEMENT, BLANK = range(5)
 _LINE_END = re.compile(r"\n")
 _ENDS = set(";}.!?)]\"'`>")
@@ -59,22 +61,21 @@ def best_cut(text: str, at: list[int], kind: list[int], lo: int, hi: int) -> int
             return at[k]
     if b > a:
         return at[b - 1]
-    for p in range(hi - 1, max(lo, hi - 400) - 1, -1):
-        if text[p].isspace():
-            return p + 1
-    return hi
+    return next((p + 1 for p in range(hi - 1, lo - 1, -1) if text[p].isspace()), hi)
 
 
-def anchor(text: str, at: list[int], kind: list[int], lo: int, limit: int) -> int:
-    """Where the range that begins at lo starts its pieces: the first most natural boundary of its first limit characters."""
-    a, b = bisect_left(at, lo), bisect_left(at, min(lo + limit, len(text)))
+def anchor(text: str, lo: int, limit: int) -> int:
+    """Where the range that begins at lo starts its pieces: the first most natural boundary of its first limit characters.
+
+    Only the limit + 1 characters before lo and the limit after it are looked at, which both ranges at this border hold.
+    """
+    zero, end = max(0, lo - limit - 1), min(lo + limit, len(text))
+    at, kind = boundaries(text[zero:end])
+    a, b = bisect_left(at, lo - zero), bisect_left(at, end - zero)
     if b > a:
         best = max(kind[a:b])
-        return at[a + kind[a:b].index(best)]
-    for p in range(lo, min(lo + limit, len(text))):
-        if text[p - 1].isspace():
-            return p
-    return lo
+        return zero + at[a + kind[a:b].index(best)]
+    return next((p for p in range(lo, end) if text[p - 1].isspace()), lo)
 
 
 def cuts(text: str, first: int, last: int, at: list[int], kind: list[int], limit: int = LIMIT, overlap: int = OVERLAP_LINES) -> list[tuple[int, int, int]]:
@@ -100,8 +101,8 @@ def cuts(text: str, first: int, last: int, at: list[int], kind: list[int], limit
 def range_pieces(text: str, lo: int, hi: int, whole: bool, more: bool, limit: int = LIMIT, overlap: int = OVERLAP_LINES) -> list[tuple[int, int, int]]:
     """Pieces of the range [lo, hi) of text, which holds its halos; whole: it is the text's first range, more: another follows."""
     at, kind = boundaries(text)
-    first = lo if whole else anchor(text, at, kind, lo, limit)
-    last = anchor(text, at, kind, hi, limit) if more else len(text)
+    first = lo if whole else anchor(text, lo, limit)
+    last = anchor(text, hi, limit) if more else len(text)
     return cuts(text, first, last, at, kind, limit, overlap)
 
 
@@ -143,7 +144,7 @@ def split_records(records: DataFrame) -> DataFrame:
 
     Pieces count from 1 in order; text[char_new:char_end] of all pieces in order is the body, text[char_start:char_new]
     is repeated: the last 6 lines before, fewer if they and the next line do not fit. A line longer than the limit is
-    cut after white space, or hard where there is none. Records with shorter, null or unfenced bodies have no pieces;
+    cut after its last white space within the limit, or hard where there is none. Records with shorter, null or unfenced bodies have no pieces;
     a null line_start counts as 1. Rows delivered twice give one set of pieces; rows without an id and empty tables none.
     """
     long = records.select("id", "record_id", "line_start", "display_content").filter((F.length("display_content") > LIMIT) & F.col("id").isNotNull()).dropDuplicates(["id"])
@@ -166,37 +167,62 @@ def numbered(pieces: DataFrame) -> DataFrame:
     return out.select("id", "record_id", (F.col("before") + F.col("place")).alias("piece"), "line_start", "line_end", "char_start", "char_new", "char_end", "text")
 
 
-def split_files(spark: SparkSession, paths: list[str], size_of, range_bytes: int = RANGE) -> DataFrame:
-    """(path, rng, byte_new, byte_end, text): pieces of UTF-8 files read by byte ranges through the executors' file system.
+def _range_of_file(path: str, n: int, lo: int, hi: int):
+    """(text, first character of the range, its characters, byte of the first character, lines in the range) with halos.
 
-    size_of(path) gives a file's bytes. Each task seeks to its range and reads it and the halos only; text is
-    the new part of a piece and what it repeats. Invalid bytes read as U+FFFD and keep their place in the offsets.
-    Files up to the limit give one piece, empty files none.
+    Invalid bytes are kept as surrogates, so that lengths in bytes stay exact.
     """
-    jobs = [(p, n, r, lo) for p in paths for n in [size_of(p)] for r, lo in enumerate(range(0, n, range_bytes))]
-    halo = 4 * LIMIT
+    halo = 4 * (LIMIT + 1)
+    a, z = max(0, lo - halo), min(n, hi + halo)
+    fs, name = pafs.FileSystem.from_uri(path)  # file, hdfs and object stores alike
+    with fs.open_input_file(name) as f:
+        raw = f.read_at(z - a, a)
+
+    def whole(p: int) -> int:
+        """The first byte from p on that begins a character."""
+        return next((q for q in range(p, min(p + 4, len(raw))) if raw[q] & 0xC0 != 0x80), min(p, len(raw)))
+
+    start, at_lo, at_hi = whole(0) if a else 0, whole(lo - a) if lo else 0, whole(hi - a) if hi < n else len(raw)
+    stop = len(raw) if z == n else next((q for q in range(len(raw) - 1, max(len(raw) - 5, at_hi - 1), -1) if raw[q] & 0xC0 != 0x80), len(raw))
+    parts = [raw[i:j].decode("utf-8", "surrogateescape") for i, j in ((start, at_lo), (at_lo, at_hi), (at_hi, max(at_hi, stop)))]
+    left = parts[0][-(LIMIT + 1) :]
+    text = left + parts[1] + parts[2][:LIMIT]
+    return text, len(left), len(parts[1]), a + at_lo - len(left.encode("utf-8", "surrogateescape")), parts[1].count("\n")
+
+
+def split_files(spark: SparkSession, paths: list[str] | str, range_bytes: int = FILE_RANGE) -> DataFrame:
+    """(path, piece, line_start, line_end, byte_new, byte_end, text): pieces of UTF-8 files, read by byte ranges.
+
+    paths is what Spark's readers take; files are listed by Spark without reading them, and each task reads its
+    range and the halos only, through the file system that the path names. Line and piece counts are stitched as for
+    records. text is the new part of a piece after what it repeats; invalid bytes read as U+FFFD and keep their
+    place in the offsets. Files up to the limit give one piece, empty files none.
+    """
+    sizes = spark.read.format("binaryFile").load(paths).select("path", "length").filter("length > 0")
+    ranges = sizes.select("path", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("rng", "lo"))
+    names = ["id", "rng", "n_lines", "line_start", "line_end", "char_new", "byte_new", "byte_end", "text"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, n, r, lo in pdf.itertuples(index=False):
-                hi, a = min(lo + range_bytes, n), max(0, lo - halo)
-                with open(path, "rb") as f:
-                    f.seek(a)
-                    raw = f.read(min(n, hi + halo) - a)
-                whole = lambda p: next((q for q in range(p, min(p + 4, len(raw))) if raw[q] & 0xC0 != 0x80), min(p, len(raw)))  # noqa: B023, E731
-                start, cl, ch = whole(0) if a else 0, whole(lo - a), whole(hi - a) if hi < n else len(raw)
-                stop = next((q for q in range(len(raw), max(len(raw) - 4, 0), -1) if q == len(raw) and hi + halo >= n or q < len(raw) and raw[q] & 0xC0 != 0x80), len(raw))
-                decode = lambda x: "".join(c if not "\udc80" <= c <= "\udcff" else "�" for c in x)
-                exact = [raw[i:j].decode("utf-8", "surrogateescape") for i, j in ((start, cl), (cl, ch), (ch, stop))]
-                text, left, size = "".join(exact), len(exact[0]), len(exact[1])
-                nbytes = lambda x: len(x.encode("utf-8", "surrogateescape"))
-                rows, upto, at = [], 0, a + start
+                hi = min(lo + range_bytes, n)
+                text, left, size, at, n_lines = _range_of_file(path, n, lo, hi)
+                rows, upto, at_lo = [(path, r, n_lines, 0, 0, -1, 0, 0, None)], 0, text.count("\n", 0, left)
                 for begin, new, end in range_pieces(text, left, left + size, lo == 0, hi < n):
-                    b_new = at + nbytes(text[upto:new])
-                    b_end = b_new + nbytes(text[new:end])
+                    b_new = at + len(text[upto:new].encode("utf-8", "surrogateescape"))
+                    b_end = b_new + len(text[new:end].encode("utf-8", "surrogateescape"))
                     upto, at = end, b_end
-                    rows.append((path, r, b_new, b_end, decode(text[begin:end])))
-                yield pd.DataFrame(rows, columns=["path", "rng", "byte_new", "byte_end", "text"])
+                    lines = [text.count("\n", 0, p) - at_lo for p in (begin, end - 1)]
+                    shown = "".join(c if not "\udc80" <= c <= "\udcff" else "\ufffd" for c in text[begin:end])
+                    rows.append((path, r, 0, *lines, b_new, b_new, b_end, shown))
+                yield pd.DataFrame(rows, columns=names)
 
-    jobs_df = spark.createDataFrame(jobs or [("", 0, 0, 0)], "path string, n long, rng int, lo long").filter("n > 0")
-    return jobs_df.repartition("path", "rng").mapInPandas(work, "path string, rng int, byte_new long, byte_end long, text string")
+    schema = "id string, rng int, n_lines long, line_start long, line_end long, char_new long, byte_new long, byte_end long, text string"
+    done = cut(ranges.select("path", "length", "rng", "lo").repartition("path", "rng").mapInPandas(work, schema))
+    w = Window.partitionBy("id").orderBy("rng")
+    n = done.groupBy("id", "rng").agg(F.sum("n_lines").alias("n_lines"), F.count("text").alias("n"))
+    n = n.select("id", "rng", (F.sum("n_lines").over(w) - F.col("n_lines")).alias("lines_before"), (F.sum("n").over(w) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("id", "rng").orderBy("byte_new"))
+    out = done.filter("text IS NOT NULL").withColumn("place", place).join(n, ["id", "rng"])
+    line = lambda c: (F.col(c) + F.col("lines_before") + 1).alias(c)
+    return out.select(F.col("id").alias("path"), (F.col("before") + F.col("place")).alias("piece"), line("line_start"), line("line_end"), "byte_new", "byte_end", "text")

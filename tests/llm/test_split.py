@@ -1,5 +1,3 @@
-import os
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,12 +48,45 @@ def test_records(spark):
     assert S.split_records(df.filter("id > 9")).count() == 0
 
 
+def test_a_line_over_the_border_of_ranges():
+    """A long line whose head only the earlier range sees is rated alike by both, and no text is lost."""
+    text = "f(" + "x" * 180 + "\n" + "y,\n" * 30 + "done;\n" + "z,\n" * 40
+    for size in (120, 130, 150, 181, 190):
+        got = whole(text, 50, size)
+        assert "".join(text[n:e] for _, n, e in got) == text
+
+
+def test_white_space_is_looked_for_over_the_whole_limit():
+    text = "word " + "x" * 2395 + "y" * 50
+    assert S.cuts(text, 0, len(text), *S.boundaries(text))[0] == (0, 0, 5)
+
+
+def test_bodies_span_ranges(spark):
+    long = "".join(f"value_{i} = call(argument_{i}, other)\n" + ("\n" if i % 23 == 0 else "") for i in range(1500))
+    df = spark.createDataFrame([(1, "r", 5, f"# t\n\n```\n{long}```")], "id long, record_id string, line_start int, display_content string")
+    got = S.split_records(df).orderBy("piece").collect()
+    body = long[:-1]
+    assert len(body) > 4 * S.RANGE and "".join(r["text"][r["char_new"] - r["char_start"] :] for r in got) == body
+    assert [r["piece"] for r in got] == list(range(1, len(got) + 1))
+    for r in got[1:]:
+        assert body[: r["char_new"]].endswith("\n\n") and body[r["char_start"] : r["char_new"]].count("\n") == 6
+        assert r["line_start"] == 5 + body.count("\n", 0, r["char_start"])
+
+
 def test_files(spark, tmp_path):
-    p = tmp_path / "big.txt"
-    data = ("zeile mit ä und 😀 drin;\n" * 9000).encode() + b"\xff\xfe broken " * 900
-    p.write_bytes(data)
+    data = ("zeile mit ä und 😀 drin;\n" * 900).encode() + b"\xff\xfe broken " * 900 + b"\nlast line\n"
+    (tmp_path / "big.txt").write_bytes(data)
+    (tmp_path / "small.txt").write_bytes(b"one\ntwo\n")
     (tmp_path / "empty").write_bytes(b"")
-    got = S.split_files(spark, [str(p), str(tmp_path / "empty")], os.path.getsize).orderBy("byte_new").collect()
-    assert got[0]["byte_new"] == 0 and got[-1]["byte_end"] == len(data)
-    assert all(a["byte_end"] == b["byte_new"] for a, b in zip(got, got[1:]))
-    assert all(len(r["text"]) <= 2400 for r in got)
+    for size in (1 << 13, 12_345, 1 << 20):
+        rows = S.split_files(spark, str(tmp_path), size).orderBy("path", "piece").collect()
+        small = [r for r in rows if r["path"].endswith("small.txt")]
+        assert [(r["piece"], r["line_start"], r["line_end"], r["text"]) for r in small] == [(1, 1, 2, "one\ntwo\n")]
+        got = [r for r in rows if r["path"].endswith("big.txt")]
+        assert len(rows) == len(got) + 1 and [r["piece"] for r in got] == list(range(1, len(got) + 1))
+        assert got[0]["byte_new"] == 0 and got[-1]["byte_end"] == len(data)
+        assert all(a["byte_end"] == b["byte_new"] for a, b in zip(got, got[1:]))
+        for r in got:
+            new = data[r["byte_new"] : r["byte_end"]].decode("utf-8", "replace")
+            assert len(r["text"]) <= 2400 and r["line_end"] == 1 + data.count(b"\n", 0, r["byte_end"] - 1)
+            assert "\ufffd" in new or r["text"].endswith(new)
