@@ -15,7 +15,7 @@ def p7_found(spark, d):
 
 
 def p7_rates(spark, d):
-    return rates(_checked(spark, d))
+    return rates(_checked(spark, d), table(spark, d, "project_code_intel_files"))
 
 
 def p7_verdicts(spark, d):

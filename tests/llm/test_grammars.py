@@ -1,7 +1,7 @@
 import pytest
 
 from lodewright.llm.grammars import parses
-from lodewright.llm.parsecheck import examine, parse_check
+from lodewright.llm.parsecheck import examine, parse_check, rates
 
 GOOD = {
     "go": [
@@ -52,10 +52,27 @@ def test_memory_does_not_leak_between_places():
 
 
 def test_foreign_and_corrupt():
-    assert examine(GOOD["go"][0], "python") == "go"
-    assert examine(GOOD["c"][0], "javascript") == "c"
-    assert examine("<<<<<<< HEAD\nx\n", "go") is None
-    assert examine("", "javascript") == "javascript"
+    assert examine(GOOD["go"][0]) == ["go"] and examine(GOOD["c"][0]) == ["c"]
+    assert examine("<<<<<<< HEAD\nx\n") == [] and set(examine("")) == {"python", "javascript", "c"}
+    assert examine('{"a": [1, 2]}') == ["json", "python"]  # several grammars may take a text
+
+
+def test_deep_nesting_is_no_error():
+    n = 3000
+    assert parses("f(" * n + "x" + ")" * n, "javascript") and not parses("f(" * n + "x" + ")" * (n - 1), "javascript")
+    assert parses("if (a) b()\nelse " * n + "c()", "javascript")
+    assert parses("int x = " + "(" * n + "1" + ")" * n + ";", "c")
+    assert parses("package a\nvar x = " + "(" * n + "1" + ")" * n + "\n", "go")
+    n = 200_000
+    assert parses("[" * n + "]" * n, "json") and not parses("[" * n + "]" * (n - 1), "json") and not parses("[" * n + "1 2" + "]" * n, "json")
+    assert parses('{"a": [{}, "\\u00e9", -1.5e3, null, {"b": ' * 50_000 + "true" + "}]}" * 50_000, "json")
+
+
+def test_rates_hold_skipped_paths(spark):
+    checked = spark.createDataFrame([("c", "r", "go", "valid"), ("c", "r", "go", "corrupt")], "collection string, repo string, language string, verdict string")
+    files = spark.createDataFrame([("c", "r", "a.go", "go", "read_error"), ("c", "r", "a.go", "go", "read_error"), (None, "r", "b.py", "python", "file_too_large"), ("c", "r", "d", "binary", "binary_nul")], "collection string, repo string, source_path string, language string, skipped_reason string")
+    got = {(r["collection"], r["language"]): (r["n_files"], r["n_corrupt"], r["n_skipped"], r["invalid_rate"]) for r in rates(checked, files).collect()}
+    assert got == {("c", "go"): (2, 1, 1, 0.5), (None, "python"): (0, 0, 1, None)}
 
 
 def test_tables(spark):
