@@ -3,13 +3,17 @@
 1. Texts with the same set of runs of three tokens form one class; only its least id goes on.
 2. Each representative has COORDS minima, and is posted under each (coordinate, value). Pairs with at
    least MATCHES equal coordinates are wanted, so in one global order of the postings, rarest first, the last
-   MATCHES - 1 of a text can be skipped: two texts with enough matches still meet in the rest (prefix).
-3. A posting list longer than HOT is not merged as it is: its texts are posted again under pairs of this and
-   another coordinate, where the same argument holds for the MATCHES - 1 further matches. Nothing is dropped.
-4. Pairs that meet have their matches counted over whole signatures; those with enough are compared exactly.
-
-A pair with likeness J matches in Binomial(COORDS, J) coordinates: with 48 and 10 the chance to miss is
-below 3e-5 at J = 0.5 and 1e-8 at 0.6.
+   MATCHES - 1 of a text can be skipped: two texts with enough matches still meet in the rest (prefix). What a template
+   gives to very many texts is most frequent, so most of it is skipped.
+3. Posting lists of up to HOT texts are merged by a join. Longer ones are cut into blocks of about BLOCK texts, and every
+   two blocks of a list are compared on whole signatures by one task, which lets out pairs with enough matches only.
+4. Lists longer than LONG would need too many blocks: their texts are posted again under pairs of this and another
+   coordinate, where the same argument holds for the MATCHES - 1 further matches, and these lists are cut into blocks.
+   Nothing is dropped; within one template of millions of texts comparisons, but not rows, are what remains quadratic.
+5. Pairs that meet have their matches counted over whole signatures; those with enough are compared exactly.
+
+A pair with likeness J matches in Binomial(COORDS, J) coordinates: with 80 and 24 the chance to miss is
+1e-4 at J = 0.5, 2e-6 at 0.55 and 2e-8 at 0.6.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from lodewright.llm.bodies import body
 from lodewright.operators.components import connected_components
 from lodewright.session import cut
 
-COORDS, MATCHES, RUN, LEAST_TOKENS, LIKENESS, HOT = 48, 10, 3, 25, 0.5, 256
+COORDS, MATCHES, RUN, LEAST_TOKENS, LIKENESS = 80, 24, 3, 25, 0.5
+HOT, BLOCK, LONG = 256, 1024, 16_384
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, size=(2, COORDS), dtype=np.uint64) | np.uint64(1)
 
@@ -92,6 +97,30 @@ def _meet(postings: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys).filter("a < b").select("a", "b")
 
 
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of the rows of two blocks, or within one, with at least MATCHES equal coordinates."""
+    pdf = pdf.sort_values("rep")
+    rep, block, sig = pdf["rep"].to_numpy(), pdf["block"].to_numpy(), np.stack(pdf["sig"].to_list())
+    lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    out = []
+    for i in left:
+        j = right[(sig[right] == sig[i]).sum(axis=1) >= MATCHES]
+        j = j[j > i] if lo == hi else j
+        out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _meet_in_blocks(postings: DataFrame, keys: list[str], reps: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, with enough matches among the texts of each key; postings has the list's length n as well."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    at = postings.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.select("rep", *keys, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return at.join(reps, "rep").groupBy(*keys, "lo", "hi").applyInPandas(_compare, "a long, b long")
+
+
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """Distinct (a, b) that meet in a prefix posting, all pairs with at least MATCHES equal coordinates among them."""
     at = F.posexplode("sig").alias("coord", "value")
@@ -101,13 +130,15 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     # at most COORDS postings per text, so its row is small; rarest first, ties by key: one order for all texts
     lists = post.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("p")).filter(F.size("p") >= MATCHES)
     lists = cut(lists.withColumn("prefix", F.slice("p", F.lit(1), F.size("p") - (MATCHES - 1))))
-    short = lists.select("rep", F.explode("prefix").alias("k")).select("rep", F.col("k.h").alias("h"), F.col("k.n").alias("n"))
-    pairs = _meet(short.filter(F.col("n") <= HOT).select("rep", "h"), ["h"])
+    first = lists.select("rep", F.explode("prefix").alias("k")).select("rep", "k.h", "k.n")
+    met = _meet(first.filter(F.col("n") <= HOT).select("rep", "h"), ["h"])
+    met = met.unionByName(_meet_in_blocks(first.filter(F.col("n").between(HOT + 1, LONG)), ["h"], reps))
     # what is left after one shared coordinate: at least MATCHES - 1 others, so MATCHES - 2 may be skipped
-    further = F.transform(F.filter("prefix", lambda k: k["n"] > HOT), lambda k: F.struct(k["h"].alias("h"), F.filter("p", lambda o: o["h"] != k["h"]).alias("o")))
-    hot = lists.select("rep", F.explode(further).alias("f")).select("rep", F.col("f.h").alias("h"), F.explode(F.expr(f"slice(f.o, 1, greatest(0, size(f.o) - {MATCHES - 2}))")).alias("o"))
-    hot = hot.select("rep", F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("g")).distinct()
-    return pairs.unionByName(_meet(hot, ["h", "g"])).distinct()
+    further = F.transform(F.filter("prefix", lambda k: k["n"] > LONG), lambda k: F.struct(k["h"].alias("h"), F.filter("p", lambda o: o["h"] != k["h"]).alias("o")))
+    again = lists.select("rep", F.explode(further).alias("f")).select("rep", F.col("f.h").alias("h"), F.explode(F.expr(f"slice(f.o, 1, greatest(0, size(f.o) - {MATCHES - 2}))")).alias("o"))
+    again = again.select("rep", F.least("h", "o.h").alias("h"), F.greatest("h", "o.h").alias("g")).distinct()
+    again = again.join(again.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["h", "g"])
+    return met.unionByName(_meet_in_blocks(again, ["h", "g"], reps)).distinct()
 
 
 @F.pandas_udf(T.DoubleType())

@@ -40,9 +40,11 @@ def brute(texts):
     return {(a, b) for a, b in itertools.combinations(sorted(runs), 2) if N.likeness(runs[a], runs[b]) >= 0.5}
 
 
-@pytest.mark.parametrize("hot", [256, 5])
-def test_same_pairs_as_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,block,long", [(256, 1024, 16_384), (3, 8, 1000), (5, 8, 36)])
+def test_same_pairs_as_brute_force(spark, monkeypatch, hot, block, long):
+    monkeypatch.setattr(N, "LONG", long)
     monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "BLOCK", block)
     texts = corpus()
     rows = [(i, t, "x", 1) for i, t in texts.items()] + [(1, texts[1], "x", 1), (1, texts[1], "x", 1), (None, texts[1], None, None)]
     df = spark.createDataFrame(rows, "id long, text string, sig string, rep int")
@@ -70,6 +72,40 @@ def test_groups(spark):
     assert got[1]["class_id"] == got[2]["class_id"] == 1 and got[1]["n_links"] >= 1
 
 
+def family(rnd, n, tokens, shared, first=0):
+    """n texts of which `shared` tokens are one template, in one piece, and the others their own; every tenth is an edit of the one before."""
+    words = [f"w{i}" for i in range(3000)]
+    template, out = [rnd.choice(words) for _ in range(shared)], {}
+    for k in range(n):
+        own = [rnd.choice(words) for _ in range(tokens - shared)]
+        if k % 10 == 9:
+            own = list(last)
+            own[5] = "edited"
+        out[first + k] = fence(" ".join(template + own))
+        last = own
+    return out
+
+
+def test_a_template_of_a_quarter_of_all_texts_makes_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 32)  # lists up to HOT make up to HOT / 2 candidates a posting, which is linear in the texts
+    rnd = random.Random(5)
+    texts = family(rnd, 1250, 120, 42) | {10_000 + i: t for i, t in enumerate(t for k in range(375) for t in family(rnd, 10, 120, 0).values())}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    want = {(i, i + 1) for i in range(8, 1250, 10)} | {(10_000 + i, 10_001 + i) for i in range(8, 3750, 10)}
+    _, reps = N.classes(df)
+    met = {tuple(r) for r in N.candidate_pairs(N.cut(reps)).collect()}
+    assert want <= met and len(met) < 40_000  # of 12 million pairs, 780,000 of them within the template
+    assert {tuple(r) for r in N.similar_pairs(df).collect()} == want
+
+
+def test_a_template_of_nearly_half_of_each_text(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 50)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    texts = family(random.Random(6), 400, 120, 66)
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    assert {tuple(r) for r in N.similar_pairs(df).collect()} == brute(texts)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert N.similar_pairs(df).count() == 0 and N.groups(df).count() == 0
