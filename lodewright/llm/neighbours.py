@@ -6,9 +6,11 @@ algorithm with a heap) until they hold `visit` entries; those are reranked by th
 
 The index holds every vector. Equal vectors are one entry with a bounded list of its least ids, from which
 the lists of all copies follow. Cells are packed into bins of at most BIN entries, larger cells split into
-blocks, and queries meet entries bin by bin; no group holds more than BIN entries and QUERIES queries.
-The centroids are fitted on the SAMPLE entries with the least hashes, the one bounded sample here;
-K grows with the square root of the number of entries, up to MOST_K (at most 65,536 cell counts on the driver).
+blocks, and queries meet entries bin by bin. A bin that more than QUERIES queries want is laid out several times, as
+many as an estimate from PROBED walks says, and its queries are dealt out over these; no other entry is copied.
+K grows with the square root of the number of entries up to MOST_K, so that a cell holds PER_CELL on average; beyond
+that, visit grows with the cells, so that at least WALK cells of average size are walked. The centroids are fitted on the
+entries with the least hashes, SAMPLE of them and FITTED a centroid at least, the one bounded sample here.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodewright.session import cut
 
-DIM, SAMPLE, PER_CELL, MOST_K, BIN, QUERIES = 48, 30_000, 100, 256, 8192, 400_000
+DIM, SAMPLE, FITTED, PER_CELL, MOST_K, WALK, BIN, QUERIES, PROBED = 48, 30_000, 30, 100, 2048, 40, 8192, 400_000, 2000
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -91,10 +93,10 @@ def _best(q: np.ndarray, e: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0.0, min_cosine: float | None = None, queries: str | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, effort: float = 0.0, min_cosine: float | None = None, queries: str | None = None) -> DataFrame:
     """(id, neighbour, cosine): the k best of the entries visited for each usable vector (id, embedding).
 
-    At least visit entries and the given share of all are visited for each query. min_cosine leaves out lesser neighbours before any
+    At least visit entries are visited for each query, and effort * n^(2/3) of n entries, which keeps recall as n grows. min_cosine leaves out lesser neighbours before any
     shuffle, which gives the same as leaving them out at the end. queries, an SQL condition on id, names the
     vectors that get a list, against all. Ties go to the lesser id. Vectors that are null, of another length, with null,
     NaN or infinite elements, or all zero are neither query nor neighbour. Rows with an id seen before are one
@@ -107,11 +109,13 @@ def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0
     n = reps.count()
     if not n:
         return spark.createDataFrame([], "id long, neighbour long, cosine double")
-    chosen = F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(int(max(1, min(1_000_000, 1_200_000 * SAMPLE / n))))  # so many rows, not SAMPLE of every task, go to the driver
-    sample = reps.select("rep", "vec").filter(chosen if n > SAMPLE else F.lit(True)).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
-    sample = sample if len(sample) else reps.select("rep", "vec").orderBy("rep").limit(SAMPLE).toPandas()
-    visit = max(k + 1, visit, int(np.ceil(share * n)))
-    kk = int(min(MOST_K, max(1, min(len(sample), round((n / PER_CELL) ** 0.5)))))
+    kk = int(min(MOST_K, max(1, round((n / PER_CELL) ** 0.5))))
+    size = max(SAMPLE, FITTED * kk)
+    chosen = F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(int(max(1, min(1_000_000, 1_200_000 * size / n))))  # so many rows, not size of every task, go to the driver
+    sample = reps.select("rep", "vec").filter(chosen if n > size else F.lit(True)).orderBy(F.xxhash64("rep"), "rep").limit(size).toPandas()
+    sample = sample if len(sample) else reps.select("rep", "vec").orderBy("rep").limit(size).toPandas()
+    kk = min(kk, len(sample))
+    visit = max(k + 1, visit, int(np.ceil(effort * n ** (2 / 3))), int(np.ceil(WALK * n / kk**2)))
     half = DIM // 2
     x = matrix(sample["vec"])
     c1, c2 = centroids(x[:, :half], kk), centroids(x[:, half:], kk)
@@ -139,29 +143,50 @@ def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0
             at, fill = at + int(blocks[cell]), 0
         else:
             fill += int(count[cell])
-    salts = int(-(-n // QUERIES))
-    seen = count.tolist()
+    shared = spark.sparkContext.broadcast((first_bin, blocks, count.tolist()))
+
+    def walked(pdf: pd.DataFrame) -> list[dict[int, list[int]]]:
+        """Per query its cells by bin."""
+        first, blk, seen = shared.value
+        d1, d2 = distances(matrix(pdf["vec"]))
+        out = []
+        for a, b in zip(d1, d2):
+            by_bin: dict[int, list[int]] = {}
+            for cell in multi_sequence(a, b, seen, visit):
+                for i in range(blk[cell]):
+                    by_bin.setdefault(int(first[cell]) + i, []).append(cell)
+            out.append(by_bin)
+        return out
+
+    def wanted(batches):
+        for whole in batches:
+            bins = [b for lo in range(0, len(whole), 2000) for by_bin in walked(whole.iloc[lo : lo + 2000]) for b in by_bin]
+            yield pd.DataFrame({"bin": bins}, dtype="int64")
+
+    asking = entries.filter("asks")
+    n_asks = asking.count()
+    few = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1_000_000)) < F.lit(int(min(1_000_000, 1_000_000 * PROBED / max(1, n_asks))))
+    salts = np.ones(at + 1, np.int64)
+    if n_asks > QUERIES:  # below, no bin can be wanted too often
+        for r in asking.filter(few).mapInPandas(wanted, "bin long").groupBy("bin").count().collect():  # a row per bin of entries
+            salts[r["bin"]] = max(1, round(r["count"] / PROBED * n_asks / QUERIES))
+    dealt = spark.sparkContext.broadcast(salts)
 
     def place(batches):
+        first, blk, _ = shared.value
         for pdf in batches:
             if len(pdf):
                 c = pdf["cell"].to_numpy()
-                one = pdf.assign(bin=first_bin[c] + pdf["rep"].to_numpy() % blocks[c])[["bin", "rep", "cell", "vec"]]
-                for s in range(salts):
-                    yield one.assign(salt=np.int32(s))
+                one = pdf.assign(bin=first[c] + pdf["rep"].to_numpy() % blk[c])[["bin", "rep", "cell", "vec"]]
+                times = dealt.value[one["bin"]]
+                one = one.loc[one.index.repeat(times)]
+                yield one.assign(salt=(np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32))
 
     def walk(batches):
         for whole in batches:
             for lo in range(0, len(whole), 2000):
                 pdf = whole.iloc[lo : lo + 2000]
-                d1, d2 = distances(matrix(pdf["vec"]))
-                out = []
-                for q, v, a, b in zip(pdf["rep"], pdf["vec"], d1, d2):
-                    by_bin: dict[int, list[int]] = {}
-                    for cell in multi_sequence(a, b, seen, visit):
-                        for blk in range(blocks[cell]):
-                            by_bin.setdefault(int(first_bin[cell]) + blk, []).append(cell)
-                    out += [(bn, q, v, cells, q % salts) for bn, cells in by_bin.items()]
+                out = [(bn, q, v, cells, q % dealt.value[bn]) for q, v, by_bin in zip(pdf["rep"], pdf["vec"], walked(pdf)) for bn, cells in by_bin.items()]
                 yield pd.DataFrame(out, columns=["bin", "rep", "vec", "cells", "salt"])
 
     def meet(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -207,9 +232,9 @@ def nearest(vectors: DataFrame, k: int = 10, visit: int = 4000, share: float = 0
         return pd.DataFrame({"q": q[top], "n": n_[top], "cos": s_[top]})
 
     placed = entries.mapInPandas(place, "bin long, rep long, cell int, vec binary, salt int")
-    probes = entries.filter("asks").mapInPandas(walk, "bin long, rep long, vec binary, cells array<int>, salt int")
+    probes = asking.mapInPandas(walk, "bin long, rep long, vec binary, cells array<int>, salt int")
     met = placed.groupBy("bin", "salt").cogroup(probes.groupBy("bin", "salt")).applyInPandas(meet, "q long, n long, cos double")
-    if salts * (at + 1) > 1:
+    if at:
         best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("c"), F.col("n").alias("n")))), 1, k)
         met = met.groupBy("q").agg(best.alias("b")).select("q", F.inline("b")).select("q", "n", (-F.col("c")).alias("cos"))
     return _with_copies(signed, reps, met, k, asks)
