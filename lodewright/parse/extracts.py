@@ -52,15 +52,16 @@ def first_sentence(text) -> Column:
 
 
 def json_members(files: DataFrame) -> DataFrame:
-    """Top-level keys of JSON objects (..., text) with their values as text."""
+    """Top-level keys of JSON objects (..., text) with their values as text; texts that are no valid JSON as a whole have none."""
     keys = [c for c in files.columns if c != "text"]
-    return files.select(*keys, F.explode(F.from_json("text", "map<string,string>")).alias("key", "value"))
+    whole = F.json_array_length(F.concat(F.lit("["), "text", F.lit("]"))) == 1  # the readers pass over what follows a value, but not inside an array
+    return files.filter(whole & F.from_json("text", "map<string,string>").isNotNull()).select(*keys, F.explode(F.from_json("text", "map<string,string>")).alias("key", "value"))
 
 
 # fixed values: what is extracted per language, as (key, pattern); first-seen order, at most 80 each
 PROFILES: dict[str, list[tuple[str, str]]] = {
     "go": [("go_package", r"(?m)^package\s+(\w+)"), ("go_functions", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("go_types", r"(?m)^type\s+(\w+)\s+(?:struct|interface)\b"), ("go_imports", r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$')],
-    "javascript": [("js_imports", r"""(?m)\bfrom\s+['"]([^'"]+)['"]|"""), ("js_classes", r"\bclass\s+([A-Za-z_$][\w$]*)"), ("js_functions", r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)"), ("js_exports", r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+([A-Za-z_$][\w$]*)")],
+    "javascript": [("js_imports", r"""\bfrom\s+['"]([^'"]+)['"]"""), ("js_classes", r"\bclass\s+([A-Za-z_$][\w$]*)"), ("js_functions", r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)"), ("js_exports", r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+([A-Za-z_$][\w$]*)")],
     "c": [("c_includes", r"(?m)^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]"), ("c_macros", r"(?m)^\s*#\s*define\s+(\w+)"), ("c_structs", r"\bstruct\s+(\w+)\s*\{"), ("c_functions", r"(?m)^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{)]*\)\s*\{")],
     "python": [("py_imports", r"(?m)^\s*import\s+([\w.]+)"), ("py_from_imports", r"(?m)^\s*from\s+([\w.]+)\s+import\b"), ("py_classes", r"(?m)^\s*class\s+(\w+)"), ("py_functions", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"), ("py_decorators", r"(?m)^\s*@([\w.]+)")],
     "rust": [("rust_functions", r"\bfn\s+(\w+)"), ("rust_types", r"\b(?:struct|enum|trait)\s+(\w+)"), ("rust_uses", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"), ("rust_modules", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)")],
@@ -89,7 +90,6 @@ PROFILES: dict[str, list[tuple[str, str]]] = {
     "css": [("css_classes", r"\.(-?[A-Za-z_][\w-]*)\s*[,{]"), ("css_variables", r"(--[\w-]+)\s*:")],
     "doc": [("doc_headings", r"(?m)^#{1,6} +([^\n]+?) *$"), ("doc_links", r"\]\(([^)\s]+)\)"), ("doc_code_languages", r"(?m)^```(\w+)")],
 }
-PROFILES["javascript"][0] = ("js_imports", r"""\bfrom\s+['"]([^'"]+)['"]""")
 PROFILES |= {"typescript": PROFILES["javascript"], "kotlin": PROFILES["java"], "objective_c": PROFILES["c"], "scss": PROFILES["css"], "vue": PROFILES["html"], "svelte": PROFILES["html"], "meson": PROFILES["cmake"], "starlark": PROFILES["bazel"], "packer": PROFILES["terraform"]}
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import keyword
+
 from pyspark.sql import functions as F
 
 from lodewright import tables as T
 from lodewright.functions.classify import language
 from lodewright.parse import chunks as C
 from lodewright.parse import extracts as X
+from lodewright.parse import security as Y
 
 
 def _raw(spark, d):
@@ -16,7 +19,7 @@ def _raw(spark, d):
 
 def referenced_symbols(spark, d):
     f = _raw(spark, d)
-    return f.select("file_id", F.array_join(X.referenced_symbols(F.col("text")), ",").alias("symbols"))
+    return f.select("file_id", F.array_join(X.referenced_symbols(F.col("text"), F.col("language")), ",").alias("symbols"))
 
 
 def common_extracts(spark, d):
@@ -63,7 +66,7 @@ def line_windows(spark, d):
 
 
 def security_scan(spark, d):
-    return C.scan_security(_raw(spark, d)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n_hits"))
+    return Y.scan_security(_raw(spark, d)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 def patch_hunks(spark, d):
@@ -81,11 +84,45 @@ def _profile(lang, ext):
     return _RAW + f"SELECT file_id, key, array_to_string(v[:80], ',') vals FROM ({parts}) WHERE len(v) > 0".replace("list_distinct_ordered(", "(SELECT list(x ORDER BY i) FROM (SELECT x, min(i) i FROM (SELECT unnest(l) x, generate_subscripts(l, 1) i FROM (SELECT ").replace(", 1)) v", ", 1) l)) GROUP BY x)) v")
 
 
+# Lines of the documents, with the heading that each stands under.
+_DOCS = r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) l FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) i FROM t),
+h AS (SELECT *, regexp_matches(line, '^#{1,4} ') head, sum(regexp_matches(line, '^#{1,4} ')::INT) OVER (PARTITION BY doc_id ORDER BY i) ordinal FROM x),
+g AS (SELECT doc_id, ordinal::INT ordinal, coalesce(max(regexp_extract(line, '^#{1,4} (.*)$', 1)) FILTER (WHERE head), '') title, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head), '') body FROM h GROUP BY ALL)
+SELECT doc_id, ordinal, title, length(trim(regexp_replace(body, '^\n+|\n+$', '', 'g'), ' '))::INT n_chars FROM g WHERE ordinal > 0 OR trim(regexp_replace(body, '^\n+|\n+$', '', 'g'), ' ') <> ''"""
+_HUNKS = r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(l) line, generate_subscripts(l, 1) i, len(l) n FROM t),
+y AS (SELECT *, CASE WHEN starts_with(line, '+++ ') THEN regexp_replace(split_part(substr(line, 5), chr(9), 1), '^b/', '') END f, starts_with(line, '@@') OR starts_with(line, 'diff --git') OR starts_with(line, '--- ') stop FROM x),
+z AS (SELECT *, coalesce(last_value(f IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), '') file FROM y),
+s AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) nxt FROM z WHERE stop)
+SELECT doc_id file_id, file, i::INT line_start, (coalesce(nxt, n + 1) - 1)::INT line_end, line hunk FROM s WHERE starts_with(line, '@@')"""
+
+
+def _scan() -> str:
+    """Every line with the two after it, the strings in triple quotes taken out by their own numbers of breaks."""
+    quoted = Y.BLOCK.replace("'", "''")
+    names = "|".join(p[2:].split("\\s")[0] for p, _, _ in Y.PATTERNS if p.startswith("\\b"))
+    hit = lambda p: f"regexp_matches(line, '\\b{p[2:].split(chr(92) + 's')[0]}\\b') AND regexp_matches(w, '{p}')" if p.startswith("\\b") else f"regexp_matches(line, '{p}') AND language NOT IN ({', '.join(map(repr, Y.QUOTING_BACKTICKS))})"
+    rules = " UNION ALL ".join(f"SELECT file_id, i, '{r}' rule_id, '{v}' severity FROM c WHERE {hit(p)}" for p, r, v in Y.PATTERNS)
+    return _RAW + f""", l AS (SELECT file_id, CASE ext WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.js' THEN 'javascript' WHEN '.c' THEN 'c' WHEN '.h' THEN 'c' WHEN '.sh' THEN 'shell' END AS language, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM raw),
+b AS (SELECT file_id, language, t, regexp_extract_all(t, '{quoted}') q, string_split_regex(t, '{quoted}') p FROM l WHERE language IS NOT NULL),
+u AS (SELECT file_id, language, CASE WHEN language = 'python' THEN array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || repeat(chr(10), length(coalesce(q[k], '')) - length(replace(coalesce(q[k], ''), chr(10), '')))), '') ELSE t END AS t FROM b),
+x AS (SELECT file_id, language, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) i FROM u),
+w AS (SELECT *, concat_ws(chr(10), line, lead(line) OVER o, lead(line, 2) OVER o) w FROM x WINDOW o AS (PARTITION BY file_id ORDER BY i)),
+c AS (SELECT * FROM w WHERE regexp_matches(line, '\\b(?:{names})\\b|`') AND NOT (language IN ('python', 'shell') AND starts_with(trim(line, ' '), '#')) AND NOT (language IN ('go', 'javascript', 'c') AND regexp_matches(trim(line, ' '), '^(?://|/\\*|\\*)'))),
+f AS (SELECT DISTINCT * FROM ({rules}))
+SELECT rule_id, severity, count(*) n_hits FROM f GROUP BY ALL"""
+
+
+_SCAN = _scan()
 SQL = {
-    "referenced_symbols": _RAW + f"SELECT file_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)), lambda x: x NOT IN ({', '.join(repr(k) for k in X.NON_CALLS)})))[:160], ',') symbols FROM raw",
+    "referenced_symbols": _RAW + f"SELECT file_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)), lambda x: x NOT IN ({', '.join(repr(k) for k in X.NON_CALLS)}) AND NOT (ext = '.py' AND x IN ({', '.join(repr(k) for k in keyword.kwlist)}))))[:160], ',') symbols FROM raw",
     "common_extracts": _RAW + "SELECT file_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(CONFIG_[A-Za-z0-9_]+)\\b', 1)))[:120], ',') config_symbols, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?m)^\\s*#\\s*include\\s+[<\"]([^>\"]+)[>\"]', 1)))[:80], ',') includes, len(list_filter(list_distinct(regexp_extract_all(text, '\"([^\"\\n]{4,160})\"', 1)), lambda x: NOT starts_with(x, '$('))[:80])::INT n_strings FROM raw",
     "json_members": _RAW + "SELECT key, count(*) n FROM (SELECT unnest(json_keys(text)) AS key FROM raw WHERE ext = '.json' AND json_valid(text) AND json_type(text) = 'OBJECT' AND NOT regexp_matches(text, ',\\s*[}\\]]')) GROUP BY 1",
     "profile_doc": "SELECT doc_id, key, least(80, len(list_distinct(v)))::INT n_vals FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS key, regexp_extract_all(text, '{p}', 1) v FROM documents" for k, p in X.PROFILES["doc"]) + ") WHERE len(v) > 0",
     "profile_python": _profile("python", ".py"),
     "profile_go": _profile("go", ".go"),
+    "doc_sections": _DOCS,
+    "patch_hunks": _HUNKS,
+    "security_scan": _SCAN,
 }

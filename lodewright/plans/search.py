@@ -63,10 +63,10 @@ def text_snippet(spark, d):
 
 
 def record_fetch(spark, d):
-    """Newest row of each asked record_id by (updated_at, id), with content cut at 400 characters and a flag."""
-    r = T.records(spark, d, "record_id", "updated_at", "display_content", where="record_type = 'doc_section'")
+    """Newest row of each record_id by (updated_at, id), with content cut at FETCHED characters and a flag."""
+    r = T.records(spark, d, "record_id", "updated_at", "display_content")
     one = V.newest_per(r, "record_id", order=("updated_at", "id"))
-    return one.select("id", "record_id", F.left("display_content", F.lit(400)).alias("content"), (F.length("display_content") > 400).alias("truncated"))
+    return one.select("id", "record_id", F.left("display_content", F.lit(FETCHED)).alias("content"), (F.length("display_content") > FETCHED).alias("truncated"))
 
 
 def metadata_filter(spark, d):
@@ -112,46 +112,34 @@ def pairwise_cosine_by_label(spark, d):
     return M.pairwise_by_group(e, "label", "vec_id", "embedding").select("label", "n_pairs", F.round("mean_cosine", 9).alias("mean_cosine"))
 
 
-_SQL_SET, WHOLE_SET = "vec_id < 20", "vec_id % 100 = 0"  # which vectors ask: those of the given SQL, and the stated search set
+ASKS, FETCHED = "vec_id % 100 = 0", 32_768  # the vectors that ask, against all rows; the most characters of a fetched record
 
 
-def _neighbours(spark, d, k, most, asks):
+def _neighbours(spark, d, k, most):
     e = T.table(spark, d, "embeddings")
-    q = e.filter(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.filter(ASKS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return M.nearest_to(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), k, most)
 
 
-def neighbours_threshold(spark, d, asks=_SQL_SET):
-    return _neighbours(spark, d, 10, 0.7, asks).select("query_id", "id", F.round("distance", 6).alias("distance"))
+def neighbours_threshold(spark, d):
+    return _neighbours(spark, d, 10, 0.7).select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
-def addside_nearest(spark, d, asks=_SQL_SET):
+def addside_nearest(spark, d):
     """The four nearest of each new definition under the gate, then the three best over all."""
-    near = _neighbours(spark, d, 4, 0.75, asks)
+    near = _neighbours(spark, d, 4, 0.75)
     return near.orderBy("distance", "query_id", "id").limit(3).select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
-def semantic_low_match(spark, d, asks=_SQL_SET):
+def semantic_low_match(spark, d):
     """Queries whose best neighbour is below the similarity that tells of a match."""
-    near = _neighbours(spark, d, 1, None, asks)
+    near = _neighbours(spark, d, 1, None)
     return near.select("query_id", (1 - F.col("distance") < M.LOW_MATCH).alias("low_match"))
 
 
-def neighbours_threshold_all(spark, d):
-    return neighbours_threshold(spark, d, WHOLE_SET)
-
-
-def addside_nearest_all(spark, d):
-    return addside_nearest(spark, d, WHOLE_SET)
-
-
-def semantic_low_match_all(spark, d):
-    return semantic_low_match(spark, d, WHOLE_SET)
-
-
 QUERIES = {f.__name__: f for f in (
     text_any_terms, text_all_terms, text_match_score, text_enumerate, text_planned, text_full, text_location_dedupe, text_snippet, record_fetch, metadata_filter, metadata_equals,
-    semantic_knn, semantic_blended_rank, semantic_diversified, pairwise_cosine_by_label, neighbours_threshold, addside_nearest, semantic_low_match, neighbours_threshold_all, addside_nearest_all, semantic_low_match_all)}
+    semantic_knn, semantic_blended_rank, semantic_diversified, pairwise_cosine_by_label, neighbours_threshold, addside_nearest, semantic_low_match)}
 
 _LR = VIEWS + ", lr AS (SELECT r.*, lf.is_generated FROM r JOIN lf ON lf.collection = r.collection AND lf.repo = r.repo AND lf.source_path = r.source_path AND lf.file_sha256 = r.file_sha256)"
 
@@ -175,7 +163,7 @@ _V = ", v AS (SELECT embedding::DOUBLE[48] q FROM r WHERE len(embedding) = 48 AN
 _BOOST = ["build", "render", "wallet", "generate", "add", "config", "configuration", "template"]
 _VALID = " OR ".join(f"contains(lower(coalesce({c}, '')), 'validat')" for c in ("symbol", "title", "source_path", "record_id"))
 _KEYED = _LR + _V + f", u AS (SELECT lr.*, 1 - array_cosine_similarity(embedding::DOUBLE[48], q) d FROM lr, v WHERE {_USABLE}), kd AS (SELECT *, round(d + CASE WHEN record_type = 'code_chunk' AND symbol IS NULL AND line_end - line_start + 1 <= 3 AND length(display_content) < 120 THEN 0.35 ELSE 0 END - 0.01 * least({_score(_BOOST)}, 80) - CASE WHEN symbol_kind IN ('function', 'method', 'shell_function') THEN 0.12 ELSE 0 END + CASE WHEN symbol_kind IN ('struct', 'interface', 'type') THEN 0.18 ELSE 0 END + CASE WHEN {_VALID} THEN 0.16 ELSE 0 END - CASE WHEN file_role = 'source' THEN 0.16 ELSE 0 END + CASE WHEN content_class <> 'source' THEN 0.18 ELSE 0 END + CASE WHEN coalesce(is_generated, false) THEN 0.24 ELSE 0 END, 9) AS key FROM u)"
-_NEAR = "WITH n AS (SELECT a.vec_id query_id, b.vec_id id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20)"
+_NEAR = "WITH n AS (SELECT a.vec_id query_id, b.vec_id id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 _BODY = r"nullif(rtrim(regexp_extract(display_content, '(?s)(?:^|\n)`{3,}[^\n`]*\n(.*?)\n?`{3,}\s*$', 1), ' '), '')"
 
 SQL = {
@@ -186,7 +174,7 @@ SQL = {
     "text_planned": _LR + f"SELECT id, {_score(['emit_event'])} match_score FROM lr WHERE record_type <> 'security_pattern' AND contains({_WHOLE}, 'emit_event') ORDER BY match_score DESC, updated_at DESC, id DESC LIMIT {LIMIT}",
     "text_location_dedupe": _LR + f"SELECT id, record_type, source_path, line_start, line_end FROM ({_ANY}) QUALIFY row_number() OVER (PARTITION BY source_path, line_start, line_end ORDER BY CASE record_type WHEN 'code_chunk' THEN 0 WHEN 'symbol_definition' THEN 1 ELSE 99 END, rank DESC, match_score DESC, updated_at DESC, id DESC) = 1 OR line_start IS NULL OR line_end IS NULL",
     "text_snippet": VIEWS + f", b AS (SELECT id, {_BODY} body FROM r WHERE record_type = 'code_chunk'), p AS (SELECT *, length(body) n, least(nullif(instr(lower(body), 'emit_event'), 0), nullif(instr(lower(body), 'store'), 0)) - 1 p FROM b), w AS (SELECT *, greatest(0, least(p - 100, n - 200)) s0 FROM p), x AS (SELECT *, 200 - CASE WHEN s0 > 0 THEN 3 ELSE 0 END - CASE WHEN s0 + 200 < n THEN 3 ELSE 0 END wd FROM w), y AS (SELECT *, greatest(0, least(p - wd // 2, n - wd)) st FROM x) SELECT id, CASE WHEN n <= 200 OR p IS NULL THEN rtrim(left(body, 200), ' ') ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || rtrim(substr(body, (st + 1)::BIGINT, wd::BIGINT), ' ') || CASE WHEN st + wd < n THEN '...' ELSE '' END END snippet FROM y",
-    "record_fetch": VIEWS + "SELECT DISTINCT ON (record_id) id, record_id, left(display_content, 400) AS content, length(display_content) > 400 truncated FROM r WHERE record_type = 'doc_section' ORDER BY record_id, updated_at DESC, id DESC",
+    "record_fetch": VIEWS + "SELECT DISTINCT ON (record_id) id, record_id, left(display_content, 32768) AS content, length(display_content) > 32768 truncated FROM r ORDER BY record_id, updated_at DESC, id DESC",
     "metadata_filter": VIEWS + "SELECT record_type, count(*) FILTER (WHERE json_exists(metadata, '$.symbols_defined')) n_key, count(*) FILTER (WHERE list_contains(json_extract_string(metadata, '$.symbols_defined[*]'), 'emit_event')) n_value FROM r GROUP BY 1",
     "metadata_equals": VIEWS + "SELECT repo, count(*) n_edges FROM e WHERE json_extract_string(metadata, '$.call_kind') = 'member' GROUP BY 1",
     "semantic_knn": VIEWS + _V + f"SELECT id, round(d, 6) distance FROM (SELECT id, 1 - array_cosine_similarity(embedding::DOUBLE[48], q) d FROM r, v WHERE {_USABLE} ORDER BY d, id LIMIT 50)",
@@ -197,4 +185,3 @@ SQL = {
     "addside_nearest": _NEAR + "SELECT query_id, id, round(distance, 6) distance FROM (SELECT * FROM n WHERE distance <= 0.75 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 4) ORDER BY n.distance, query_id, id LIMIT 3".replace("n.distance", "distance"),
     "semantic_low_match": _NEAR + "SELECT query_id, max(1 - distance) < 0.4 low_match FROM n GROUP BY 1",
 }
-SQL |= {f"{n}_all": SQL[n].replace("a.vec_id < 20", "a.vec_id % 100 = 0") for n in ("neighbours_threshold", "addside_nearest", "semantic_low_match")}

@@ -223,7 +223,7 @@ def test_nearest_of_more_than_a_thousand_queries(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-@pytest.mark.parametrize("name", [n + s for n in ("neighbours_threshold", "addside_nearest", "semantic_low_match") for s in ("", "_all")])
+@pytest.mark.parametrize("name", ["neighbours_threshold", "addside_nearest", "semantic_low_match"])
 def test_neighbours_same_as_sql(spark, name):
     import __spark_entry__ as entry
     from lodewright.compare import difference, duck

@@ -51,11 +51,23 @@ def test_kconfig_and_make():
     assert [(r[3], r[4], r[5], r[6], r[8]) for r in C.records_of("Makefile", "make", m)][:4] == [("A", "make_assignment", 1, 1, []), ("B", "make_assignment", 2, 3, ["A"]), ("Pkg/x", "make_define", 4, 6, ["B"]), ("all", "make_target", 7, 8, ["A"])]
 
 
-def test_patch_and_security():
+def test_patch_and_security(spark):
     patch = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@ f\n-a\n+b\n@@ -9 +9 @@\n c\n"
     assert [h[0:1] + h[3:] for h in C.patch_records(patch)] == [("x", "@@ -1,2 +1,2 @@ f"), ("x", "@@ -9 +9 @@")]
-    assert C.security_hits("c", "// strcpy(a, b)\nstrcpy(a,\n b);\n") == [(2, "unsafe_string_copy", "medium")]
-    assert C.security_hits("python", '"""\nsystem(x)\n"""\nos.system(x)\n') == [(4, "shell_command_execution", "medium")]
+    texts = {
+        1: ("c", "// strcpy(a, b)\nstrcpy(a,\n b);\nstrcpy\n\n\n(x)\n"),
+        2: ("python", '"""\nsystem(x)\n"""\nos.system(x)\nx = 1\n\'\'\'one line system(y)\'\'\'\npopen(z); system(y)\n"""open\nsystem(z)\n'),
+        3: ("shell", "# eval x\neval `ls`\n"),
+        4: ("go", "x := `raw`\r\n/* system(1) */\r\nsystem(2)"),
+        5: ("doc", "system(1)"),
+        6: ("c", None),
+        7: ("c", ""),
+    }
+    from lodewright.parse.security import scan_security
+
+    df = spark.createDataFrame([(i, *t) for i, t in texts.items()], "file_id long, language string, text string")
+    got = sorted((r["file_id"], r["line"], r["rule_id"], r["severity"]) for r in scan_security(df).collect())
+    assert got == [(1, 2, "unsafe_string_copy", "medium"), (2, 4, "shell_command_execution", "medium"), (2, 7, "shell_command_execution", "medium"), (3, 2, "shell_backtick_execution", "low"), (3, 2, "shell_eval", "medium"), (4, 3, "shell_command_execution", "medium")]
 
 
 def test_extracts(spark):
