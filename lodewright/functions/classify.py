@@ -121,3 +121,15 @@ def slug(text) -> Column:
     """A database name: lower case, runs of other characters as _, at most 63 characters with a digest where longer."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(F.length(plain) <= 63, plain).otherwise(F.concat(F.left(plain, F.lit(54)), F.lit("_"), F.left(F.sha2(text, 256), F.lit(8))))
+
+
+#: Suffixes and names of texts that are parsed, beyond those of a known language (fixed values).
+PARSED_NAMES = "Makefile Kconfig Config.in Config-defaults.in config inittab rc.common sysupgrade .bazelrc BUILD BUILD.bazel WORKSPACE WORKSPACE.bazel MODULE.bazel Jenkinsfile CMakeLists.txt meson.build meson_options.txt Dockerfile Containerfile".split()
+PARSED_LANGUAGES = [*SOURCE, *"autotools boot_script cmake config dockerfile meson packer text xml".split()]
+
+
+def should_parse(path, lang, skipped_reason) -> Column:
+    """Whether a file's text is parsed: it was read, and its suffix, name, place or language tells of text."""
+    known = [e for ends in SUFFIXES.values() for e in ends.split()] + C_SUFFIXES + [".s", ".S"]
+    text = suffix(path).isin(*known) | base_name(path).isin(*PARSED_NAMES) | F.contains(path, F.lit("/files/")) | F.contains(path, F.lit("/base-files/")) | lang.isin(*PARSED_LANGUAGES)
+    return (F.coalesce(skipped_reason, F.lit("")) == "") & F.coalesce(text, F.lit(False))
