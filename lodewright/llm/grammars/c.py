@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodewright.llm.grammars.stream import MEMO, Invalid, Shapes, Stream
+from lodewright.llm.grammars.stream import MEMO, Invalid, Shapes, Stream, head, refused
 
 END = "\x00"
 _STORAGE = frozenset("auto extern register static typedef inline const volatile restrict _Noreturn _Thread_local _Atomic __inline __inline__ __extension__ __restrict __const __volatile__".split())
@@ -56,14 +56,16 @@ def parse(text: str) -> bool:
     text = text[1:] if text.startswith("\ufeff") else text
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\\\n", "")
     try:
-        return _unit(text)
+        if (first := head(text)) and refused(s := _recogniser(first, set()), 3, s.unit):
+            raise Invalid("in its first lines")
+        return _recogniser(text, _KNOWN).unit()
     except Invalid:
         if "#el" in text.replace(" ", ""):
-            return _unit(_first_branches(text))
+            return _recogniser(_first_branches(text), _KNOWN).unit()
         raise
 
 
-def _unit(text: str) -> bool:
+def _recogniser(text: str, known: set) -> _C:
     # a directive's quotes need not pair, so directives go first, but not those inside comments
     blank = _LITERAL.sub(_literal, _without_directives(text))
     tokens: list[str] = []
@@ -76,7 +78,7 @@ def _unit(text: str) -> bool:
         tokens += _SHAPES.of_line(line)
         first[at] = (line, len(tokens))
     tokens += [END, END, END]
-    return _C(tokens, first, _KNOWN).unit()
+    return _C(tokens, first, known)
 
 
 def _without_directives(text: str) -> str:

@@ -17,6 +17,7 @@ _BINARY = frozenset("|| && == != < <= > >= + - | ^ * / % << >> & &^".split())
 _ASSIGN = frozenset("= := += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 _STRING, _RUNE = "\ue000", "\ue001"
 _KNOWN: set = set()
+_PACKAGE = re.compile(r"(?:\s|;|//[^\n]*(?:\n|\Z)|/\*(?s:.*?)\*/)*+package\b")  # what every file begins with
 
 
 def _literal(m: re.Match) -> str:
@@ -36,6 +37,8 @@ def parse(text: str) -> bool:
     if "\x00" in text:
         raise Invalid("NUL")
     text = text[1:] if text.startswith("\ufeff") else text
+    if not _PACKAGE.match(text):
+        raise Invalid("no package clause")
     shape = _SHAPES.shape(_LITERAL.sub(_literal, text.replace("\r\n", "\n").replace("\r", " ")))
     tokens: list[str] = []
     first: dict[int, tuple[str, int]] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodewright.llm.grammars.stream import MEMO, Invalid, Shapes, Stream
+from lodewright.llm.grammars.stream import MEMO, Invalid, Shapes, Stream, head, refused
 
 END = "\x00"
 _RESERVED = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
@@ -83,7 +83,7 @@ def _template(text: str, pos: int, inner: list[str]) -> int:
     raise Invalid("a template without end")
 
 
-def _stream(text: str) -> tuple[_JavaScript, list[str]]:
+def _stream(text: str, known: set = _KNOWN) -> tuple[_JavaScript, list[str]]:
     blank, inner = _blank_literals(text)
     shape = _SHAPES.shape(blank)
     tokens: list[str] = []
@@ -97,7 +97,7 @@ def _stream(text: str) -> tuple[_JavaScript, list[str]]:
         first[at] = (line, len(tokens))
     tokens += [END, END, END]
     first[len(tokens) - 3] = ("", len(tokens) - 3)
-    return _JavaScript(tokens, first, _KNOWN), inner
+    return _JavaScript(tokens, first, known), inner
 
 
 def parse(text: str) -> bool:
@@ -105,6 +105,8 @@ def parse(text: str) -> bool:
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
     if text.startswith("#!"):
         text = "//" + text
+    if (first := head(text)) and refused(s := _stream(first, set())[0], 3, s.program):
+        raise Invalid("in its first lines")
     s, inner = _stream(text)
     s.program()
     while inner:

@@ -83,3 +83,41 @@ class Stream:
 
     def fail(self) -> None:
         raise Invalid(self.t[self.p])
+
+
+HEAD = 12
+
+
+class Watched(list):
+    """Tokens that remember how far they were looked at."""
+
+    top = 0
+
+    def __getitem__(self, i):
+        self.top = max(self.top, i if isinstance(i, int) else i.stop or len(self))
+        return list.__getitem__(self, i)
+
+
+def head(text: str) -> str | None:
+    """The first HEAD lines of a longer text, if no comment, string or line goes on beyond them; else None."""
+    at = -1
+    for _ in range(HEAD):
+        at = text.find("\n", at + 1)
+        if at < 0:
+            return None
+    first = text[: at + 1]
+    return None if "`" in first or "\\\n" in first or first.rfind("/*") > first.rfind("*/") else first
+
+
+def refused(stream: Stream, ends: int, run) -> bool:
+    """Whether run refuses the tokens of a text's head before it looks at what follows them, so that it refuses the text as
+    well; ends is the number of end marks."""
+    end = len(stream.t) - ends
+    stream.t = Watched(stream.t)
+    try:
+        run()
+    except (Invalid, IndexError):
+        return stream.t.top < end
+    except RecursionError:
+        pass
+    return False

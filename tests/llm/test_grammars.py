@@ -84,3 +84,15 @@ def test_tables(spark):
     got = {r["raw_id"]: (r["verdict"], r["parsed_as"], r["file_sha256"]) for r in parse_check(raw, files).collect()}
     assert got == {1: ("valid", "python", "aa"), 2: ("corrupt", None, "bb"), 3: ("wrong_extension", "json", "cc")}
     assert parse_check(raw.filter("raw_id > 9"), files).count() == 0
+
+
+def test_refusing_by_the_first_lines_is_refusing_the_text():
+    from lodewright.llm.grammars.stream import head
+
+    code = "int f(void)\n{\n" + "\ta = g(1);\n" * 30 + "}\n"
+    assert head(code) and head("/* " + code) is None and head("x = `\n" * 20) is None and head("a \\\n" * 20) is None and head("short\n") is None
+    for n in range(1, 30, 3):  # what only later lines complete is left to the whole text
+        assert parses("int a[] = {\n" + "\t1,\n" * n + "};\n", "c") and not parses("int a[] = {\n" + "\t1,\n" * n + ";\n", "c")
+        assert parses("f(\n" + "  x,\n" * n + ") \n", "javascript") and not parses("f(\n" + "  x,\n" * n + "; \n", "javascript")
+        assert parses("(\n" + "  x,\n" * n + "y) => z\n", "javascript") and not parses("(\n" + "  x,\n" * n + "y z) => z\n", "javascript")
+    assert not parses("import os\n" * 20, "c") and not parses("import os\n" * 20, "javascript")
