@@ -51,7 +51,7 @@ def edited_definitions(old, new) -> tuple[Column, Column]:
 
 
 def definition_slice(text: str, name: str, most: int = 60) -> str | None:
-    """The lines of a definition: from its head to the next line that is indented no deeper, closing braces included."""
+    """The lines of a definition: from its head to before the next line that is indented no deeper, be it a closing brace."""
     lines = text.split("\n")
     for i, line in enumerate(lines):
         if (m := re.search(_DEFINES, line)) and m[1] == name:
@@ -59,24 +59,23 @@ def definition_slice(text: str, name: str, most: int = 60) -> str | None:
             out = [line]
             for x in lines[i + 1 : i + most]:
                 if x.strip() and len(x) - len(x.lstrip()) <= deep:
-                    if x.strip()[0] in "})]":
-                        out.append(x)
                     break
                 out.append(x)
             return "\n".join(out).rstrip()
     return None
 
 
+_SIGNATURE = re.compile(r"\A\s*(?:async\s+)?def\s[^\n]*?(?:\([\s\S]*?\))?[^\n]*?:[^\n]*(?:\n|\Z)")
+_DOCSTRING = re.compile(r"\A\s*[a-zA-Z]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z))[^\n]*\n?")
+
+
 def plain_body(text: str) -> str:
-    """A body without its first line, a docstring and blank lines, each line stripped."""
-    lines = [x.strip() for x in text.split("\n")[1:]]
-    lines = [x for x in lines if x]
-    if lines and lines[0][:3] in ('"""', "'''"):
-        mark, k = lines[0][:3], 0
-        if not (len(lines[0]) > 3 and lines[0].endswith(mark)):
-            k = next((i for i, x in enumerate(lines[1:], 1) if mark in x), len(lines) - 1)
-        lines = lines[k + 1 :]
-    return "\n".join(lines)
+    """A body without its signature, which may take several lines, a docstring that follows it, blank lines and white space at
+    the ends of lines; a text without a signature loses nothing of these but the last two."""
+    rest = _SIGNATURE.sub("", text, count=1)
+    if rest != text:
+        rest = _DOCSTRING.sub("", rest, count=1)
+    return "\n".join(x.rstrip() for x in rest.split("\n") if x.strip())
 
 
 @F.pandas_udf(T.DoubleType())
@@ -85,11 +84,11 @@ def body_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, plain_body(x or ""), plain_body(y or "")).ratio() for x, y in zip(a, b)])
 
 
-def group_likeness(members: DataFrame, limit_group: int = 200) -> DataFrame:
+def group_likeness(members: DataFrame) -> DataFrame:
     """(cluster, avg_text, max_text) over pairs of members (cluster, key, body).
 
-    The likeness has no index, so all pairs of a cluster are compared; clusters are of functions of one shape in one
-    snapshot. Larger ones than limit_group are compared by their distinct bodies only, which is exact for copies.
+    The likeness has no index and its average is over all pairs, so every two distinct bodies of a cluster are
+    compared; copies count as what they are without being compared. Clusters are of functions of one shape in one snapshot.
     """
     body = members.groupBy("cluster", "body").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
     a, b = body.select("cluster", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("body").alias("ba")), body.select("cluster", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("body").alias("bb"))

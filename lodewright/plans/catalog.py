@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodewright.plans import code, index, ops, parsing, problems, search, stores, streams
+from lodewright.plans import code, index, ops, parsing, problems, sarif, search, stores, streams
 
 FLAGSHIP = "text_any_terms"
-_MODULES = (problems, index, search, code, ops, parsing, stores, streams)
+_MODULES = (problems, index, search, code, ops, sarif, parsing, stores, streams)
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +76,55 @@ def replace_table(df: DataFrame, path: str, *partition: str) -> None:
     """The table at path replaced as a whole, or with partition columns only the partitions df has."""
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition).option("partitionOverwriteMode", "dynamic") if partition else w).parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+TRIAGE = "id string, scope string, members array<string>, status string, reason string, updated_at string"
+
+
+def write_triage(entries: DataFrame, path: str) -> None:
+    """Triage entries (id, scope, members, status, reason, updated_at) as JSON lines at path, replaced as a whole: they are
+    written beside it and moved into its place, so that a reader or a failure sees the old ones or the new ones."""
+    spark = entries.sparkSession
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    entries.select(*[c.split()[0] for c in TRIAGE.split(", ")]).write.json(beside)
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), at):
+        raise OSError(f"could not move {beside} to {path}")
+
+
+def read_triage(spark: SparkSession, path: str) -> DataFrame:
+    """Triage entries at path; entries of the first version, which have no scope, have null there; none if nothing is there."""
+    fs, at = _fs(spark, path)
+    return spark.read.schema(TRIAGE).json(path) if fs.exists(at) else spark.createDataFrame([], TRIAGE)
+
+
+@contextmanager
+def only_writer(spark: SparkSession, path: str):
+    """Holds the lock file at path, which its file system creates for one writer only; another gets an error at once."""
+    fs, at = _fs(spark, path)
+    try:
+        fs.create(at, False).close()
+    except Exception as ex:
+        raise RuntimeError(f"{path} is held by another writer") from ex
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def has_rows(df: DataFrame) -> bool:
+    """Whether there is a row; reads until the first."""
+    return not df.limit(1).isEmpty()
+
+
+def recordset(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows of a column of JSON arrays of objects, beside the other columns; texts that are no array give none."""
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.inline(F.from_json(column, f"array<struct<{schema}>>")))

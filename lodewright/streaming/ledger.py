@@ -54,3 +54,36 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day
 def changed_files(files: DataFrame, signatures: list[str] = ["collection", "repo", "source_path", "signature"]) -> DataFrame:
     """File versions not seen before by the stream; late repeats within the watermark are dropped."""
     return files.withWatermark("fetched_at", "7 days").dropDuplicatesWithinWatermark(signatures)
+
+
+def index_stream(files: DataFrame, name: str = "index") -> DataFrame:
+    """Records of a stream of files (collection, repo, source_path, signature, fetched_at, path, language, text): every batch
+    parses the paths whose signature is not the stored one, and takes the records of all other paths over.
+
+    A batch writes a whole state beside the one before it, numbered, so that a batch replayed after a failure
+    begins from the same state and replaces its own. Of several versions of a path in a batch the last fetched counts.
+    """
+    from lodewright.parse.chunks import RECORD, parse_files
+
+    spark, key = files.sparkSession, ["collection", "repo", "source_path"]
+    where = fresh(spark, name)
+    stored = f"collection string, repo string, source_path string, signature string, {RECORD}"
+    state = lambda n: spark.read.schema(stored).parquet(f"{where}/state-{n}") if n >= 0 else spark.createDataFrame([], stored)
+    last = {"n": -1}
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = state(number - 1)
+        newest = batch.groupBy(*key).agg(F.max_by(F.struct("signature", "path", "language", "text"), F.struct("fetched_at", "signature")).alias("f")).select(*key, "f.*")
+        known = before.select(*key, "signature").distinct()
+        changed = newest.join(known, [*key, "signature"], "left_anti").withColumn("file_id", F.xxhash64(*key))
+        changed = changed.persist()
+        parsed = parse_files(changed.select("file_id", "path", "language", "text")).join(changed.select("file_id", *key, "signature"), "file_id")
+        kept = before.join(changed.select(*key), key, "left_anti")
+        columns = [c.split()[0] for c in stored.split(", ")]
+        kept.select(*columns).unionByName(parsed.select(*columns)).write.mode("overwrite").parquet(f"{where}/state-{number}")
+        changed.unpersist()
+        last["n"] = number
+
+    q = files.writeStream.option("checkpointLocation", where + "/progress").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return state(last["n"])

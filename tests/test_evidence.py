@@ -21,7 +21,7 @@ def test_edits(spark):
     r = df.select(added.alias("a"), removed.alias("r")).first()
     assert (r["a"], r["r"]) == (["c", "D"], ["a"])
     assert E.definition_slice("x\ndef f(a):\n    b\n\n    c\ny", "f") == "def f(a):\n    b\n\n    c"
-    assert E.definition_slice("func g() {\n\tx\n}\nz", "g") == "func g() {\n\tx\n}" and E.definition_slice("x", "h") is None
+    assert E.definition_slice("func g() {\n\tx\n}\nz", "g") == "func g() {\n\tx" and E.definition_slice("x", "h") is None
 
 
 def test_group_likeness(spark):
@@ -30,7 +30,8 @@ def test_group_likeness(spark):
     got = E.group_likeness(df).first()
     want = [difflib.SequenceMatcher(None, E.plain_body(x), E.plain_body(y)).ratio() for x, y in itertools.combinations(bodies, 2)]
     assert abs(got["avg_text"] - sum(want) / len(want)) < 0.02 and got["max_text"] == 1.0
-    assert E.plain_body('def c():\n  """doc\n  more"""\n  y') == "y"
+    assert E.plain_body('def c():\n  """doc\n  more"""\n  y  \n\n    z') == "  y\n    z"
+    assert E.plain_body("async def c(\n    a: int,\n    b=(1, 2),\n) -> int:\n    return a\n") == "    return a" and E.plain_body("x\n\ny") == "x\ny" and E.plain_body("") == ""
 
 
 def test_embed(spark):
