@@ -7,6 +7,8 @@ import keyword
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.parse.profiles import PROFILES
+
 NON_CALLS = "if for while switch return sizeof defined do else case catch func function typeof instanceof new delete void throw yield await fn match loop lambda".split()  # fixed values
 
 
@@ -58,41 +60,6 @@ def json_members(files: DataFrame) -> DataFrame:
     return files.filter(whole & F.from_json("text", "map<string,string>").isNotNull()).select(*keys, F.explode(F.from_json("text", "map<string,string>")).alias("key", "value"))
 
 
-# fixed values: what is extracted per language, as (key, pattern); first-seen order, at most 80 each
-PROFILES: dict[str, list[tuple[str, str]]] = {
-    "go": [("go_package", r"(?m)^package\s+(\w+)"), ("go_functions", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("go_types", r"(?m)^type\s+(\w+)\s+(?:struct|interface)\b"), ("go_imports", r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$')],
-    "javascript": [("js_imports", r"""\bfrom\s+['"]([^'"]+)['"]"""), ("js_classes", r"\bclass\s+([A-Za-z_$][\w$]*)"), ("js_functions", r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)"), ("js_exports", r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+([A-Za-z_$][\w$]*)")],
-    "c": [("c_includes", r"(?m)^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]"), ("c_macros", r"(?m)^\s*#\s*define\s+(\w+)"), ("c_structs", r"\bstruct\s+(\w+)\s*\{"), ("c_functions", r"(?m)^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{)]*\)\s*\{")],
-    "python": [("py_imports", r"(?m)^\s*import\s+([\w.]+)"), ("py_from_imports", r"(?m)^\s*from\s+([\w.]+)\s+import\b"), ("py_classes", r"(?m)^\s*class\s+(\w+)"), ("py_functions", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"), ("py_decorators", r"(?m)^\s*@([\w.]+)")],
-    "rust": [("rust_functions", r"\bfn\s+(\w+)"), ("rust_types", r"\b(?:struct|enum|trait)\s+(\w+)"), ("rust_uses", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"), ("rust_modules", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)")],
-    "java": [("jvm_package", r"(?m)^\s*package\s+([\w.]+)"), ("jvm_imports", r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)"), ("jvm_types", r"\b(?:class|interface|enum|record)\s+(\w+)")],
-    "csharp": [("cs_usings", r"(?m)^\s*using\s+([\w.]+)\s*;"), ("cs_namespaces", r"\bnamespace\s+([\w.]+)"), ("cs_types", r"\b(?:class|interface|struct|enum|record)\s+(\w+)")],
-    "ruby": [("ruby_requires", r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"]+)['"]"""), ("ruby_classes", r"(?m)^\s*class\s+([\w:]+)"), ("ruby_methods", r"(?m)^\s*def\s+([\w.?!]+)")],
-    "php": [("php_namespaces", r"(?m)^\s*namespace\s+([\w\\]+)"), ("php_uses", r"(?m)^\s*use\s+([\w\\]+)"), ("php_types", r"\b(?:class|interface|trait)\s+(\w+)"), ("php_functions", r"\bfunction\s+(\w+)")],
-    "shell": [("shell_functions", r"(?m)^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)\s*\{"), ("shell_sources", r"(?m)^\s*(?:\.|source)\s+(\S+)")],
-    "swift": [("swift_imports", r"(?m)^\s*import\s+(\w+)"), ("swift_types", r"\b(?:class|struct|enum|protocol|actor)\s+(\w+)"), ("swift_functions", r"\bfunc\s+(\w+)")],
-    "scala": [("scala_imports", r"(?m)^\s*import\s+([\w.{}]+)"), ("scala_types", r"\b(?:class|object|trait)\s+(\w+)"), ("scala_functions", r"\bdef\s+(\w+)")],
-    "lua": [("lua_requires", r"""require\s*\(?\s*['"]([^'"]+)['"]"""), ("lua_functions", r"\bfunction\s+([\w.:]+)")],
-    "perl": [("perl_packages", r"(?m)^\s*package\s+([\w:]+)"), ("perl_uses", r"(?m)^\s*use\s+([\w:]+)"), ("perl_subs", r"(?m)^\s*sub\s+(\w+)")],
-    "elixir": [("beam_modules", r"\bdefmodule\s+([\w.]+)"), ("beam_functions", r"(?m)^\s*defp?\s+(\w+[?!]?)")],
-    "erlang": [("beam_modules", r"(?m)^-module\((\w+)\)"), ("beam_exports", r"(\w+/\d+)")],
-    "zig": [("zig_functions", r"\bfn\s+(\w+)"), ("zig_imports", r'@import\("([^"]+)"\)')],
-    "powershell": [("ps_functions", r"(?im)^\s*function\s+([\w-]+)"), ("ps_modules", r"(?im)^\s*Import-Module\s+(\S+)")],
-    "groovy": [("gradle_plugins", r"""\bid\s*\(?\s*['"]([^'"]+)['"]"""), ("gradle_tasks", r"\btask\s+(\w+)")],
-    "graphql": [("graphql_types", r"\b(?:type|input|interface|enum|union|scalar)\s+(\w+)"), ("graphql_operations", r"\b(?:query|mutation|subscription|fragment)\s+(\w+)")],
-    "protobuf": [("proto_package", r"(?m)^\s*package\s+([\w.]+)\s*;"), ("proto_messages", r"\bmessage\s+(\w+)"), ("proto_services", r"\bservice\s+(\w+)"), ("proto_rpcs", r"\brpc\s+(\w+)")],
-    "terraform": [("tf_resources", r'(?m)^\s*resource\s+"([^"]+)"'), ("tf_variables", r'(?m)^\s*variable\s+"([^"]+)"'), ("tf_modules", r'(?m)^\s*module\s+"([^"]+)"')],
-    "dockerfile": [("docker_bases", r"(?im)^\s*FROM\s+(\S+)"), ("docker_ports", r"(?im)^\s*EXPOSE\s+(\S+)")],
-    "cmake": [("cmake_targets", r"(?i)\badd_(?:executable|library)\s*\(\s*(\S+)"), ("cmake_packages", r"(?i)\bfind_package\s*\(\s*(\w+)")],
-    "bazel": [("bazel_rules", r"(?m)^\s*(\w+)\(\s*$"), ("bazel_loads", r'load\(\s*"([^"]+)"')],
-    "sql": [("sql_tables", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?([\w.]+)"), ("sql_views", r"(?i)\bcreate\s+(?:or\s+replace\s+)?view\s+([\w.]+)")],
-    "html": [("html_ids", r"""\bid\s*=\s*["']([^"']+)["']"""), ("html_links", r"""\bhref\s*=\s*["']([^"']+)["']"""), ("html_scripts", r"""<script[^>]*\bsrc\s*=\s*["']([^"']+)["']""")],
-    "css": [("css_classes", r"\.(-?[A-Za-z_][\w-]*)\s*[,{]"), ("css_variables", r"(--[\w-]+)\s*:")],
-    "doc": [("doc_headings", r"(?m)^#{1,6} +([^\n]+?) *$"), ("doc_links", r"\]\(([^)\s]+)\)"), ("doc_code_languages", r"(?m)^```(\w+)")],
-}
-PROFILES |= {"typescript": PROFILES["javascript"], "kotlin": PROFILES["java"], "objective_c": PROFILES["c"], "scss": PROFILES["css"], "vue": PROFILES["html"], "svelte": PROFILES["html"], "meson": PROFILES["cmake"], "starlark": PROFILES["bazel"], "packer": PROFILES["terraform"]}
-
-
 def profile(text, language: str) -> dict[str, Column]:
     """The metadata keys of a language as columns of at most 80 values in first-seen order."""
     return {k: F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1)), 1, 80) for k, p in PROFILES.get(language, [])}

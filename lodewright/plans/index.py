@@ -250,8 +250,15 @@ QUERIES = {f.__name__: f for f in (
     edges_copy_forward, orphan_sweep, status_counts, status_filtered_counts, edges_by_type, language_breakdown, directory_breakdown, dimension_values, queryable_types,
     ingest_report, embedding_contract, text_percentiles, embedding_pending)}
 
+_FLAGS = f"""WITH w AS (SELECT DISTINCT ON (raw_id) raw_id, source_path AS repo_rel_path, content FROM raw_files),
+x AS (SELECT raw_id, content, {_SQL_NAME} AS name, string_split(lower(repo_rel_path), '/') AS parts, repo_rel_path, {_SQL_LANG} AS by_path FROM w),
+y AS (SELECT *, CASE WHEN content IS NULL THEN by_path WHEN by_path = 'c' AND repo_rel_path ILIKE '%.h' AND regexp_matches(left(content, 8192), '@interface|@protocol|@implementation|#import') THEN 'objective_c' ELSE by_path END AS language FROM x)
+SELECT raw_id, language, list_has_any(parts, ['generated', 'autogenerated']) OR contains(lower(name), 'generated') OR language = 'go' AND list_has_any(parts, ['applyconfiguration', 'clientset', 'informers', 'listers']) AND list_has_any(parts, ['client', 'pkg'])
+  OR coalesce(regexp_matches(left(content, 4096), '{C.GENERATED_HEADER}'), false) AS is_generated FROM y"""
+
 SQL = {
     "files_classify": _CLASSIFY,
+    "content_flags": _FLAGS,
     "file_signatures": _SIG + "SELECT * FROM sig",
     "collection_slugs": VIEWS + "SELECT repo, CASE WHEN length(p) <= 63 THEN p ELSE left(p, 54) || '_' || left(sha256(t), 8) END slug FROM (SELECT repo, t, trim(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '_') p FROM (SELECT DISTINCT repo, concat_ws('/', collection, repo) t FROM s))",
     "files_list_filtered": VIEWS + "SELECT source_path, repo, language, file_role, size_bytes FROM lf WHERE is_source AND NOT coalesce(is_test, false) AND skipped_reason IS NULL AND language = 'python' ORDER BY source_path, repo LIMIT 500",

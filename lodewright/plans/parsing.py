@@ -11,6 +11,7 @@ from lodewright.functions.classify import language
 from lodewright.parse import chunks as C
 from lodewright.parse import extracts as X
 from lodewright.parse import security as Y
+from lodewright.parse.profiles import module_name
 
 
 def _raw(spark, d):
@@ -48,6 +49,31 @@ def profile_go(spark, d):
     return X.profile_rows(f, "go").select("file_id", "key", F.array_join("values", ",").alias("vals"))
 
 
+def profile_javascript(spark, d):
+    f = _raw(spark, d).filter("language = 'javascript'").select("file_id", "text")
+    return X.profile_rows(f, "javascript").select("file_id", "key", F.array_join("values", ",").alias("vals"))
+
+
+def profile_c(spark, d):
+    f = _raw(spark, d).filter("language = 'c'").select("file_id", "text")
+    return X.profile_rows(f, "c").select("file_id", "key", F.array_join("values", ",").alias("vals"))
+
+
+def profile_split(spark, d):
+    """What files of Go keep of their metadata, and what their records take over."""
+    from lodewright.parse.assemble import record_metadata
+    from lodewright.parse.profiles import FILE_ONLY
+
+    f = _raw(spark, d).filter("language = 'go'").select("file_id", "text")
+    m = X.profile_rows(f, "go").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("m"))
+    kept = record_metadata(F.col("m"), FILE_ONLY)
+    return m.select("file_id", F.size("m").alias("n_file_keys"), F.array_join(F.map_keys(kept), ",").alias("record_keys"), F.try_element_at(F.try_element_at(kept, F.lit("go_package")), F.lit(1)).alias("go_package"))
+
+
+def profile_module(spark, d):
+    return _raw(spark, d).filter("language = 'python'").select("file_id", F.expr(module_name("path")).alias("python_module"))
+
+
 def profile_doc(spark, d):
     f = T.table(spark, d, "documents").select("doc_id", "text")
     return X.profile_rows(f, "doc").select("doc_id", "key", F.size("values").alias("n_vals"))
@@ -74,7 +100,7 @@ def patch_hunks(spark, d):
     return C.scan_patches(docs)
 
 
-QUERIES = {f.__name__: f for f in (referenced_symbols, common_extracts, doc_sections, json_members, profile_python, profile_go, profile_doc, parse_records, line_windows, security_scan, patch_hunks)}
+QUERIES = {f.__name__: f for f in (referenced_symbols, common_extracts, doc_sections, json_members, profile_python, profile_go, profile_javascript, profile_c, profile_split, profile_module, profile_doc, parse_records, line_windows, security_scan, patch_hunks)}
 
 _RAW = "WITH raw AS (SELECT DISTINCT ON (raw_id) raw_id file_id, lower(regexp_extract(source_path, '[^/.](\\.[^./]+)$', 1)) ext, content AS text FROM raw_files)"
 
@@ -98,6 +124,15 @@ s AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) nxt FROM z WHERE s
 SELECT doc_id file_id, file, i::INT line_start, (coalesce(nxt, n + 1) - 1)::INT line_end, line hunk FROM s WHERE starts_with(line, '@@')"""
 
 
+# A window ends at the last line that fits after those it repeats; the next begins with the last six lines.
+_WINDOWS = r"""WITH RECURSIVE t AS (SELECT DISTINCT ON (raw_id) raw_id file_id, source_path path, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) l FROM raw_files WHERE content IS NOT NULL AND NOT regexp_matches(source_path, '\.(py|go|c|h|js)$')),
+x AS (SELECT *, list_transform(l, lambda s: CASE WHEN length(s) > 2400 THEN length(rtrim(s[:2378])) + 17 ELSE length(s) END + 1) n FROM t),
+p AS (SELECT *, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[:i])) s FROM x),
+w AS (SELECT file_id, 1::BIGINT b, greatest(1, len(list_filter(s, lambda v: v <= 2400))) e FROM p
+  UNION ALL SELECT w.file_id, greatest(w.b, w.e - 5), greatest(w.e + 1, len(list_filter(p.s, lambda v: v <= 2400 + coalesce(p.s[greatest(w.b, w.e - 5) - 1], 0)))) FROM w JOIN p ON p.file_id = w.file_id WHERE w.e < len(p.s))
+SELECT w.file_id, path || '::chunk::' || lpad(b::VARCHAR, 6, '0') || '-' || lpad(e::VARCHAR, 6, '0') record_id, b::INT line_start, e::INT line_end FROM w JOIN p ON p.file_id = w.file_id WHERE trim(array_to_string(p.l[b:e], ''), E' \t\n\r\f\v') <> ''"""
+
+
 def _scan() -> str:
     """Every line with the two after it, the strings in triple quotes taken out by their own numbers of breaks."""
     quoted = Y.BLOCK.replace("'", "''")
@@ -122,6 +157,11 @@ SQL = {
     "profile_doc": "SELECT doc_id, key, least(80, len(list_distinct(v)))::INT n_vals FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS key, regexp_extract_all(text, '{p}', 1) v FROM documents" for k, p in X.PROFILES["doc"]) + ") WHERE len(v) > 0",
     "profile_python": _profile("python", ".py"),
     "profile_go": _profile("go", ".go"),
+    "profile_javascript": _profile("javascript", ".js"),
+    "profile_c": _profile("c", ".c"),
+    "profile_split": f"SELECT file_id, count(*)::INT n_file_keys, coalesce(max('go_package') FILTER (WHERE key = 'go_package'), '') record_keys, max(split_part(vals, ',', 1)) FILTER (WHERE key = 'go_package') go_package FROM ({_profile('go', '.go')}) GROUP BY 1",
+    "profile_module": "SELECT DISTINCT ON (raw_id) raw_id file_id, " + module_name("source_path").replace("'(?:/__init__)?[.]py$', '')", "'(?:/__init__)?[.]py$', '')").replace("'/', '.')", "'/', '.', 'g')") + " python_module FROM raw_files WHERE source_path LIKE '%.py'",
+    "line_windows": _WINDOWS,
     "doc_sections": _DOCS,
     "patch_hunks": _HUNKS,
     "security_scan": _SCAN,
