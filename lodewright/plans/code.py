@@ -131,7 +131,30 @@ fo AS (SELECT snapshot_id, symbol, loc, roles, min(source_path) source_path, cou
 wt AS (SELECT snapshot_id, role, ln(any_value(n) / count(*)) weight FROM (SELECT snapshot_id, unnest(string_split(roles, ',')) role, count(*) OVER (PARTITION BY snapshot_id) n FROM fo) WHERE role <> '' GROUP BY ALL)"""
 _WT = ", tot AS (SELECT snapshot_id, count(*) n FROM fo GROUP BY 1), wt2 AS (SELECT x.snapshot_id, role, ln(any_value(tot.n) / count(*)) weight FROM (SELECT snapshot_id, unnest(string_split(roles, ',')) role FROM fo) x JOIN tot USING (snapshot_id) WHERE role <> '' GROUP BY ALL)"
 
+# All pairs of folded nodes, and the reach of every node over their links.
+_MOTIF = (_NODES + _WT).replace("WITH s AS", "WITH RECURSIVE s AS", 1) + f""", cs AS (SELECT snapshot_id, record_id, list(DISTINCT callee) cl FROM ca GROUP BY 1, 2),
+fk AS (SELECT DISTINCT ON (snapshot_id, symbol, loc, roles) fn.*, coalesce(cl, []) cl FROM fn LEFT JOIN cs USING (snapshot_id, record_id) ORDER BY snapshot_id, symbol, loc, roles, source_path, record_id),
+el AS (SELECT *, {_TAIL.format('symbol')} bare FROM fk WHERE roles <> '' AND len(string_split(roles, ',')) >= 3),
+ew AS (SELECT x.*, weight FROM (SELECT snapshot_id, record_id, unnest(string_split(roles, ',')) role FROM el) x JOIN wt2 USING (snapshot_id, role)),
+tt AS (SELECT snapshot_id, record_id, sum(weight) t FROM ew GROUP BY 1, 2),
+pr AS (SELECT a.snapshot_id, a.record_id ra, b.record_id rb, a.roles = b.roles same, list_contains(a.cl, b.bare) OR list_contains(b.cl, a.bare) chain FROM el a JOIN el b ON a.snapshot_id = b.snapshot_id AND a.record_id < b.record_id),
+sh AS (SELECT a.snapshot_id, a.record_id ra, b.record_id rb, sum(a.weight) s FROM ew a JOIN ew b ON a.snapshot_id = b.snapshot_id AND a.role = b.role AND a.record_id < b.record_id GROUP BY 1, 2, 3),
+lk AS (SELECT pr.*, CASE WHEN same THEN 1.0 ELSE coalesce(s, 0) / (x.t + y.t - coalesce(s, 0)) END j FROM pr JOIN tt x ON x.snapshot_id = pr.snapshot_id AND x.record_id = ra JOIN tt y ON y.snapshot_id = pr.snapshot_id AND y.record_id = rb LEFT JOIN sh ON sh.snapshot_id = pr.snapshot_id AND sh.ra = pr.ra AND sh.rb = pr.rb),
+ln AS (SELECT snapshot_id, ra u, rb v FROM lk WHERE j >= {LIKE} - 1e-12 AND NOT chain), l2 AS (SELECT * FROM ln UNION SELECT snapshot_id, v, u FROM ln),
+rc AS (SELECT DISTINCT snapshot_id, u node, u root FROM l2 UNION SELECT l2.snapshot_id, l2.v, rc.root FROM rc JOIN l2 ON l2.snapshot_id = rc.snapshot_id AND l2.u = rc.node),
+mb AS (SELECT el.*, c FROM (SELECT snapshot_id, node, min(root) c FROM rc GROUP BY 1, 2) x JOIN el ON el.snapshot_id = x.snapshot_id AND el.record_id = x.node),
+kk AS (SELECT snapshot_id, c, count(*) k, count(DISTINCT CASE WHEN contains(source_path, '/') THEN {_DIR.format('source_path')} ELSE source_path END) n_dirs, CASE WHEN count(loc) >= 2 THEN sum(loc) - max(loc) END::BIGINT est_loc FROM mb GROUP BY 1, 2),
+rl AS (SELECT x.snapshot_id, x.c, role, count(*) n FROM (SELECT snapshot_id, c, unnest(string_split(roles, ',')) role FROM mb) x GROUP BY 1, 2, 3),
+rw AS (SELECT rl.*, weight, n >= greatest(k / 2, 1.0) AND weight > 0 core FROM rl JOIN wt2 USING (snapshot_id, role) JOIN kk USING (snapshot_id, c)),
+ro2 AS (SELECT snapshot_id, c, coalesce(sum(weight) FILTER (WHERE core), 0) shared, coalesce(sum(weight) FILTER (WHERE NOT core), 0) residual, coalesce(string_agg(role, ',' ORDER BY role) FILTER (WHERE core), '') core_roles FROM rw GROUP BY 1, 2),
+av AS (SELECT a.snapshot_id, a.c, avg(j) a FROM mb a JOIN mb b ON a.snapshot_id = b.snapshot_id AND a.c = b.c AND a.record_id < b.record_id JOIN lk ON lk.snapshot_id = a.snapshot_id AND lk.ra = a.record_id AND lk.rb = b.record_id GROUP BY 1, 2),
+sc AS (SELECT *, 1 + residual + 0.5 * greatest(n_dirs - 1, 0) cost, (k - 1) * shared * a * a redundancy FROM kk JOIN ro2 USING (snapshot_id, c) JOIN av USING (snapshot_id, c))"""
+_ADVICE = "CASE WHEN redundancy - cost <= 0 THEN 'leave-as-is' WHEN residual > shared THEN 'parameterize-carefully' ELSE 'worth-collapsing' END"
+
 SQL = {
+    "motif_clusters": _MOTIF + "SELECT snapshot_id, min(record_id) first_member, count(*) k FROM mb GROUP BY snapshot_id, c",
+    "motif_scores": _MOTIF + f"SELECT snapshot_id, k, n_dirs, core_roles, round(shared, 6) shared, round(residual, 6) residual, round(a, 6) avg_similarity, round(cost, 6) AS cost, round(redundancy, 6) redundancy, round(redundancy - cost, 6) net, round(redundancy / cost, 6) ratio, est_loc, {_ADVICE} recommendation FROM sc",
+    "common_roles": _MOTIF + "SELECT snapshot_id, k, core_roles FROM sc",
     "edge_resolve": _RESOLVE,
     "edge_unresolved_count": VIEWS + "SELECT snapshot_id, count(*) n_unresolved FROM e WHERE target_record_id IS NULL AND target_symbol IS NOT NULL AND coalesce(json_extract_string(metadata, '$.target_resolvable'), 'true') <> 'false' GROUP BY 1",
     "related_edges_any": _NEW + ", x AS (SELECT * FROM le WHERE target_record_id IS NULL OR source_record_id IS DISTINCT FROM target_record_id), y AS (SELECT id, 0 direction, row_number() OVER (ORDER BY target_record_id IS NOT NULL DESC, id DESC) place FROM x WHERE target_symbol = 'emit_event' UNION ALL SELECT id, 1, row_number() OVER (ORDER BY target_record_id IS NOT NULL DESC, id DESC) FROM x WHERE source_symbol = 'emit_event'), z AS (SELECT DISTINCT ON (id) * FROM y WHERE place <= 40 ORDER BY id, place, direction) SELECT id, direction, place FROM z ORDER BY place, direction LIMIT 40",
