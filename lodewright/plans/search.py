@@ -48,8 +48,11 @@ def text_planned(spark, d):
     return S.planned_search(latest_records(spark, d), "emit_event", LIMIT)[1].select("id", "match_score")
 
 
+FULL = '"emit event" OR renames -python'
+
+
 def text_full(spark, d):
-    return S.full_text(latest_records(spark, d), '"emit event" OR renames -python', LIMIT).select("id", "rank", "match_score")
+    return S.full_text(latest_records(spark, d), FULL, LIMIT).select("id", "rank", "match_score")
 
 
 def text_location_dedupe(spark, d):
@@ -166,7 +169,32 @@ _KEYED = _LR + _V + f", u AS (SELECT lr.*, 1 - array_cosine_similarity(embedding
 _NEAR = "WITH n AS (SELECT a.vec_id query_id, b.vec_id id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 _BODY = r"nullif(rtrim(regexp_extract(display_content, '(?s)(?:^|\n)`{3,}[^\n`]*\n(.*?)\n?`{3,}\s*$', 1), ' '), '')"
 
+_STEM = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) - {len(e)} >= 3 THEN left(w, length(w) - {len(e)}) || '{to}'" for e, to in S._SUFFIX) + " ELSE w END"
+_STOP = ", ".join(f"'{w}'" for w in sorted(S.STOP))
+_FIELDS = {"title": (1.0, True), "source_path": (1.0, False), "symbol": (1.0, False), "summary": (0.4, True), "record_type": (0.4, False), "embedding_text": (0.2, True)}
+
+
+def _lexemes(c: str, stemmed: bool) -> str:
+    words = f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
+    return f"list_transform(list_filter({words}, lambda w: w NOT IN ({_STOP})), lambda w: {_STEM})" if stemmed else words
+
+
+def _hit(parts: list[str], c: str) -> str:
+    return f"list_contains(l_{c}, '{parts[0]}')" if len(parts) == 1 else f"contains(' ' || array_to_string(l_{c}, ' ') || ' ', ' {' '.join(parts)} ')"
+
+
+def _full() -> str:
+    alternatives = S.parse_web_query(FULL)
+    some = lambda p: "(" + " OR ".join(_hit(p, c) for c in _FIELDS) + ")"
+    match = " OR ".join("(" + " AND ".join(some(p) if want else f"NOT {some(p)}" for want, p in alt) + ")" for alt in alternatives)
+    hits = " + ".join(f"CASE WHEN {_hit(p, c)} THEN {w} ELSE 0 END" for alt in alternatives for want, p in alt if want for c, (w, _) in _FIELDS.items())
+    lists = ", ".join(f"{_lexemes(c, stemmed)} l_{c}" for c, (_, stemmed) in _FIELDS.items())
+    ranked = f"SELECT *, round(({hits}) / (1 + ln(1 + len(l_embedding_text))), 9) rank, {_score(S.query_terms(FULL))} match_score FROM lx WHERE {match}"
+    return _LR + f", lx AS (SELECT *, {lists} FROM lr) SELECT id, rank, match_score FROM ({ranked}) ORDER BY rank DESC, match_score DESC, updated_at DESC, id DESC LIMIT {LIMIT}"
+
+
 SQL = {
+    "text_full": _full(),
     "text_any_terms": _LR + f"SELECT id, rank, match_score FROM ({_ANY})",
     "text_all_terms": _LR + f"SELECT id, {_score(['emit_event', 'limit'])} match_score FROM lr WHERE record_type <> 'security_pattern' AND contains({_WHOLE}, 'emit_event') AND contains({_WHOLE}, 'limit') ORDER BY match_score DESC, updated_at DESC, id DESC LIMIT {LIMIT}",
     "text_match_score": _LR + f"SELECT {_score(_TERMS)} match_score, count(*) n FROM lr GROUP BY 1",
