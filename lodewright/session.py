@@ -19,6 +19,7 @@ def build(app: str = "lodewright", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a cut's files go with its last reference
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -45,3 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage replaced by files in the shared folder (a reliable checkpoint)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
