@@ -29,4 +29,12 @@ g AS MATERIALIZED (SELECT id, x, len(x) n, unnest(x) h FROM s),
 c AS (SELECT a.id id_a, b.id id_b, count(*) m, any_value(a.n) na, any_value(b.n) nb FROM g a JOIN g b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2)
 """
 # All pairs by shared runs, counted in full: no signature, no prefix.
-SQL = {"p1_found": _PAIRS + "SELECT id_a, id_b FROM c WHERE m >= 0.5 * (na + nb - m)"}
+# Groups by the reach of every class over its links.
+_GROUPS = (
+    _PAIRS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+    + """, k AS (SELECT id, min(id) OVER (PARTITION BY x) class_id FROM s),
+l AS (SELECT DISTINCT a.class_id u, b.class_id v FROM c JOIN k a ON a.id = id_a JOIN k b ON b.id = id_b WHERE m >= 0.5 * (na + nb - m) AND a.class_id <> b.class_id),
+b AS (SELECT u, v FROM l UNION SELECT v, u FROM l), r AS (SELECT DISTINCT class_id node, class_id root FROM k UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node)
+SELECT id, class_id, g.root group_id, coalesce(n, 0) n_links FROM k JOIN (SELECT node, min(root) root FROM r GROUP BY 1) g ON g.node = class_id LEFT JOIN (SELECT u, count(*) n FROM b GROUP BY 1) d ON d.u = class_id"""
+)
+SQL = {"p1_found": _PAIRS + "SELECT id_a, id_b FROM c WHERE m >= 0.5 * (na + nb - m)", "p1_groups": _GROUPS}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.session import cut, shared_dir
+from lodewright.session import cut, remove, shared_dir
 
 VOCABULARY, LABELLED, TOPICS, ROUNDS, BATCH, LEAST_TEXTS = 8192, 20_000, 24, 30, 1000, 50
 SENTENCES, TERMS, LEAST, LIFT = 3, 2, 2.0, 3
@@ -194,8 +194,8 @@ def lexicon(texts: DataFrame, votes: DataFrame) -> Lexicon:
     return Lexicon(top.unionByName(more).distinct().toPandas(), {k: sizes[k] for k in named})
 
 
-def _batched(texts: DataFrame, lex: Lexicon) -> DataFrame:
-    """Texts as (batch, ids) in files by batch: language * ROUNDS + one of the language's batches, by the text's hash."""
+def _batched(texts: DataFrame, lex: Lexicon, path: str) -> DataFrame:
+    """Texts as (batch, ids) in files at path by batch: language * ROUNDS + one of the language's batches, by the text's hash."""
     n = sum(lex.sizes)
     n_batches = np.array([lex.batches(i) for i in range(len(lex.langs))])
 
@@ -212,7 +212,6 @@ def _batched(texts: DataFrame, lex: Lexicon) -> DataFrame:
                 k = rows["k1"].to_numpy()
                 yield pd.DataFrame({"batch": lang * ROUNDS + np.abs(k % n_batches[lang]), "salt": k // 65536 % 4096, "ids": [kept[a:b] for a, b in zip(ends, ends[1:])]})
 
-    path = f"{shared_dir(texts.sparkSession)}/topics-{uuid.uuid4().hex}"
     salts = max(1, n // (ROUNDS * 50_000))
     out = texts.select("k1", "tokens").mapInPandas(work, "batch int, salt int, ids array<int>").filter(F.size("ids") > 0)
     out.repartition("batch", F.col("salt") % salts).select("batch", "ids").write.partitionBy("batch").parquet(path)
@@ -383,7 +382,11 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
         return none
     seen, base = _matrix(votes, lex, subjects)
     lex.weight = [np.maximum(w, marked(v, base)).astype(np.float32) for w, v in zip(lex.weight, seen)]
-    model = Model(lex, fit_topics(_batched(texts, lex), lex, **fit), seen, base)
+    path = f"{shared_dir(spark).rstrip('/')}/topics-{uuid.uuid4().hex}"
+    try:
+        model = Model(lex, fit_topics(_batched(texts, lex, path), lex, **fit), seen, base)
+    finally:
+        remove(spark, path)
     shared = spark.sparkContext.broadcast((subjects, model))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
