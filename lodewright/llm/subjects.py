@@ -40,36 +40,40 @@ _CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
 _QUOTED = re.compile(r"`[^`\n]*`")
 _MARKS = frozenset("_/\\@#<>{}=0123456789")  # fixed value: characters of names, paths and numbers
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_SENTENCE = re.compile(r"[.!?;:](?=\s|$)|\n+|\|")
+_BREAK = re.compile(r"[.!?;:]\Z|\|")
 _JOIN = frozenset("of de du des del la le les der d l à".split())  # fixed value: words inside terms
 
 
-def sentences(text: str) -> Iterator[list[str]]:
-    """Words of each sentence of a text, without code, quoted names, marked tokens and words inside terms."""
-    for line in _QUOTED.sub(" ", _CODE.sub("\n", text.lower())).split("\n"):
-        line = " ".join([w for w in line.split() if _MARKS.isdisjoint(w)])
-        for s in _SENTENCE.split(line) if line else ():
-            if words := [w for w in _WORD.findall(s) if w not in _JOIN]:
-                yield words
+def words_of(token: str) -> list[str]:
+    """Words of a text between two white spaces, "" where a sentence ends in or after it; none if it has marks."""
+    if not _MARKS.isdisjoint(token):
+        return []
+    out: list[str] = []
+    for i, part in enumerate(_BREAK.split(token)):
+        out += [""] * (i > 0) + [w for w in _WORD.findall(part) if w not in _JOIN]
+    return out
 
 
-def encode(text: str, memo: dict[str, int]) -> np.ndarray:
-    """Hashes of the words of a text, a 0 after each sentence."""
+def encode(text: str, memo: dict[str, list[int]]) -> np.ndarray:
+    """Hashes of the words of a text without code and quoted names, a 0 after each sentence; empty if it has no word. memo holds
+    those of texts between white spaces, which repeat."""
     out: list[int] = []
-    for words in sentences(text):
-        for w in words:
-            h = memo.get(w)
-            if h is None:
+    for line in _QUOTED.sub(" ", _CODE.sub("\n", text.lower())).split("\n"):
+        for token in line.split():
+            got = memo.get(token)
+            if got is None:
                 if len(memo) > 1 << 18:
                     memo.clear()
-                h = memo[w] = xxhash.xxh3_64_intdigest(w) - 2**63 or 1
-            out.append(h)
+                got = memo[token] = [(xxhash.xxh3_64_intdigest(w) - 2**63 or 1) if w else 0 for w in words_of(token)]
+            out += got
         out.append(0)
-    return np.array(out, np.int64)
+    t = np.array(out, np.int64)
+    t = t[(t != 0) | np.r_[False, t[:-1] != 0]]  # one 0 a sentence
+    return t if t.any() else t[:0]
 
 
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo: dict[str, int] = {}
+    memo: dict[str, list[int]] = {}
     for pdf in batches:
         tokens = [encode(t, memo) for t in pdf["text"]]
         raw = [t.tobytes() for t in tokens]

@@ -48,9 +48,12 @@ def tokens(text):
 
 
 def test_sentences():
-    assert [*S.sentences("a b. c\nx | e")] == [["a", "b"], ["c"], ["x"], ["e"]]
-    assert [*S.sentences("X" * 400_000 + " violin a/b c_d `q r` 12 End. `open\n```\ncode\n```\nnext")] == [["x" * 400_000, "violin", "end"], ["open"], ["next"]]
-    assert len(S.encode(" \n", {})) == 0
+    h = lambda t: [int(x) for x in S.encode(t, {})]
+    a, b, c, x, e = (h(w)[0] for w in "abcxe")
+    assert h("a b. c\nx | e") == [a, b, 0, c, 0, x, 0, e, 0] and h("a b.c;\n\n|\nx") == [a, b, c, 0, x, 0]
+    long = h("X" * 400_000 + " violin a/b c_d `q r` 12 End. `open\n```\ncode\n```\nnext")
+    assert long == [h("x" * 400_000)[0], h("violin")[0], h("end")[0], 0, h("open")[0], 0, h("next")[0], 0]
+    assert all(len(S.encode(t, {})) == 0 for t in (" \n", "", "12 a/b .", "```\ncode\n```"))
 
 
 def model(words, terms):
