@@ -133,3 +133,26 @@ def test_definitions_of_more_than_400_lines():
     go = "func Long() {\n" + "\tcall()\n" * 5000 + "}\n"
     kinds = {r[0]: r for r in C.records_of("a.go", "go", go)}
     assert kinds["symbol_definition"][5:7] == (1, 5002) and kinds["symbol_definition"][8] == ["call"] and kinds["code_chunk"][3] == "Long"
+
+
+def test_profiles_of_all_languages(spark):
+    """Every pattern has one group in both engines, and the samples give the keys they show."""
+    import re
+
+    from lodewright.parse import extracts as X
+
+    for language, pairs in X.PROFILES.items():
+        assert len({k for k, _ in pairs}) == len(pairs), language
+        assert all(re.compile(p).groups == 1 for _, p in pairs), language
+        df = spark.createDataFrame([(1, "x"), (2, None), (3, "")], "file_id long, text string")
+        assert X.profile_rows(df, language).filter("file_id > 1").count() == 0
+    samples = {
+        "rust": ("pub mod a;\nuse b::c;\npub struct S;\nimpl T for S {}\nunsafe fn f() {}\n", {"rust_modules": ["a"], "rust_uses": ["b::c"], "rust_structs": ["S"], "rust_impls": ["S"], "rust_functions": ["f"], "rust_uses_unsafe": ["unsafe"]}),
+        "typescript": ("import { a } from 'b';\nexport class C {}\ninterface I {}\ntype T = string;\nenum E {}\n", {"js_imports": ["b"], "js_classes": ["C"], "js_exports": ["C"], "ts_interfaces": ["I"], "ts_types": ["T"], "ts_enums": ["E"]}),
+        "terraform": ('resource "aws_x" "y" {}\nvariable "v" {}\ndata "d" "e" {}\n', {"terraform_resources": ["aws_x"], "terraform_variables": ["v"], "terraform_data_sources": ["d"]}),
+        "dockerfile": ("FROM a:1 AS b\nEXPOSE 80\nCOPY --from=b x y\n", {"docker_base_images": ["a:1"], "docker_stages": ["b"], "docker_instructions": ["FROM", "EXPOSE", "COPY"], "docker_exposed_ports": ["80"], "docker_copy_sources": ["x"]}),
+        "xml": ('<?xml version="1.0"?>\n<!-- c -->\n<root a="1"><b/></root>', {"xml_root": ["root"], "xml_elements": ["root", "b"], "xml_attributes": ["version", "a"]}),
+    }
+    for language, (text, want) in samples.items():
+        got = {r["key"]: r["values"] for r in X.profile_rows(spark.createDataFrame([(1, text)], "file_id long, text string"), language).collect()}
+        assert got == want, language
