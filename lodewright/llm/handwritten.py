@@ -3,8 +3,9 @@
 1. Each file version shows features from its text and path: phrases of tools and notices of rights in its leading or
    trailing comments, mechanical numbering, line and white-space statistics, shares of literal data, runs of tokens
    shared with known library files, its name. None decides a label: a notice of rights stands in many hand-written files.
-2. How likely each value is under each label is fitted by expectation maximisation over a bounded sample (SAMPLE
-   versions by least hash), starting from LIKELY, which counts as many versions as the sample has of a label, LEAST at least.
+2. How likely each value is under each label is fitted by expectation maximisation over all versions, starting from
+   LIKELY, which counts as many versions as there are of a label, LEAST at least. Versions with equal values weigh
+   the same in every round, so each of the 2,304 combinations of values is one row with its count of versions.
 3. Labels are inferred by belief propagation over the directory tree: a directory's label makes those of its files and
    subdirectories likely, so that files support their siblings and files without marks follow their tree. The tree has
    no loops: one pass up and one down give exact marginals. Messages of a directory's children are summed with
@@ -28,7 +29,7 @@ from lodewright.session import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 LANGUAGES = ("python", "javascript", "go", "c")
-RUN, MOST_RUNS, SAMPLE, LEAST, ROUNDS = 5, 8_000_000, 20_000, 200, 4
+RUN, MOST_RUNS, LEAST, ROUNDS = 5, 8_000_000, 200, 4
 # fixed values: how likely a file (first) or a subdirectory (second) has a label (column) if its directory has one (row)
 COMPATIBLE = {
     "handwritten": (0.89, 0.04, 0.02, 0.02, 0.03),
@@ -198,18 +199,20 @@ def shown(content: DataFrame, library: DataFrame) -> DataFrame:
     return out.withColumn("shared", F.when(share >= 0.5, 2).when(share >= 0.3, 1).otherwise(0)).drop("n", "hits")
 
 
-def fitted(sample: np.ndarray) -> dict[str, np.ndarray]:
-    """Log likelihoods, values x labels, of each feature after ROUNDS of expectation maximisation over rows of feature values."""
+def fitted(rows: np.ndarray, times: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Log likelihoods, values x labels, of each feature after ROUNDS of expectation maximisation over rows of feature values;
+    times: how many versions have a row's values, one if not given."""
     table = {k: np.array(v) for k, v in LIKELY.items()}
     prior = np.array(PRIOR)
-    for _ in range(ROUNDS if len(sample) else 0):
-        log = np.log(prior) + sum(np.log(table[k])[sample[:, i]] for i, k in enumerate(LIKELY))
+    times = np.ones(len(rows)) if times is None else times
+    for _ in range(ROUNDS if len(rows) else 0):
+        log = np.log(prior) + sum(np.log(table[k])[rows[:, i]] for i, k in enumerate(LIKELY))
         p = np.exp(log - log.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        prior = (p.sum(axis=0) + LEAST * np.array(PRIOR)) / (len(p) + LEAST)
+        p *= times[:, None] / p.sum(axis=1, keepdims=True)
+        prior = (p.sum(axis=0) + LEAST * np.array(PRIOR)) / (times.sum() + LEAST)
         anchor = np.maximum(p.sum(axis=0), LEAST)
         for i, (k, v) in enumerate(LIKELY.items()):
-            seen = np.stack([p[sample[:, i] == x].sum(axis=0) for x in range(len(v))])
+            seen = np.stack([p[rows[:, i] == x].sum(axis=0) for x in range(len(v))])
             table[k] = (seen + anchor * np.array(v)) / (p.sum(axis=0) + anchor)
     return {k: np.log(v) for k, v in table.items()}
 
@@ -222,10 +225,8 @@ def _place(path) -> F.Column:
 
 def evidence(seen: DataFrame) -> DataFrame:
     """Paths with e_label, the log likelihood of their features averaged over versions."""
-    n = seen.count()
-    few = F.pmod(F.xxhash64("raw_id"), F.lit(1_000_000)) < F.lit(int(max(1, min(1_000_000, 1_200_000 * SAMPLE / max(1, n)))))  # so many rows, not SAMPLE of every task, go to the driver
-    rows = seen.filter(few if n > SAMPLE else F.lit(True)).withColumn("place", _place(F.col("source_path"))).orderBy(F.pmod(F.xxhash64("raw_id"), F.lit(1_000_000)), "raw_id").limit(SAMPLE).select(*LIKELY).toPandas()
-    table = fitted(rows.to_numpy(int))
+    kinds = seen.withColumn("place", _place(F.col("source_path"))).groupBy(*LIKELY).count().toPandas().sort_values([*LIKELY])  # 2,304 rows at most
+    table = fitted(kinds[[*LIKELY]].to_numpy(int), kinds["count"].to_numpy(float))
     at = lambda k, i: F.element_at(F.array(*[F.lit(float(x)) for x in table[k][:, i]]), F.col(k) + 1)
     log = {f"e_{x}": F.avg(sum((at(k, i) for k in FEATURES[1:]), at(FEATURES[0], i))) for i, x in enumerate(LABELS)}
     return seen.groupBy(*KEY, "source_path").agg(*[v.alias(k) for k, v in log.items()])

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodewright.llm import handwritten as H
 from lodewright.llm.handwritten import LABELS, source_labels
@@ -44,6 +45,26 @@ def test_likelihoods_follow_the_sample():
     assert after["marker"][1, 1] < before["marker"][1, 1] and after["counting"][1, 1] > before["counting"][1, 1]
 
 
+def test_likelihoods_follow_all_versions(spark):
+    """Every one of 24,000 versions counts in the fit, the 37 of the rarest kind too, and each is seen by its values alone."""
+    kind = F.when(F.col("raw_id") % 640 == 7, 2).otherwise((F.col("raw_id") % 11 == 3).cast("int"))
+    seen = spark.range(24_000).withColumnRenamed("id", "raw_id").withColumns({"kind": kind, "collection": F.lit("c"), "repo": F.lit("r")})
+    seen = seen.withColumns({k: F.lit(0) for k in H.FEATURES} | {"counting": (F.col("kind") > 0).cast("int"), "marker": (F.col("kind") > 1).cast("int"), "source_path": F.concat(F.lit("r/"), "kind", F.lit(".py"))})
+    at = {x: list(H.LIKELY).index(x) for x in ("counting", "marker")}
+    rows = np.zeros((24_000, len(H.LIKELY)), int)
+    i = np.arange(24_000)
+    rows[i % 640 == 7, at["marker"]] = 1
+    rows[(i % 640 == 7) | (i % 11 == 3), at["counting"]] = 1
+    table = H.fitted(rows)
+    kinds, times = np.unique(rows, axis=0, return_counts=True)
+    for k, v in H.fitted(kinds, times).items():
+        assert v == pytest.approx(table[k], abs=1e-9)
+    got = {r["source_path"]: [r[f"e_{x}"] for x in LABELS] for r in H.evidence(seen).collect()}
+    for j, (counting, marker) in enumerate([(0, 0), (1, 0), (1, 1)]):
+        value = {"counting": counting, "marker": marker}
+        assert got[f"r/{j}.py"] == pytest.approx([sum(table[k][value.get(k, 0), x] for k in H.FEATURES) for x in range(5)], abs=1e-9)
+
+
 def test_files_without_marks_follow_their_tree(spark):
     """The same file: hand-written in the library's own folder, vendored or generated among marked siblings."""
     neutral, copied, made = ([float(sum(TABLE[k][v.get(k, 0), i] for k in H.FEATURES)) for i in range(5)] for v in ({}, {"shared": 2, "notice": 1}, {"marker": 1, "counting": 1}))
